@@ -1,49 +1,41 @@
-"""Great-circle distance and safe distance bounds to a latitude / longitude box."""
+"""Great-circle distance and safe distance bounds to a latitude / longitude box.
 
-from __future__ import annotations
+Written as SQL expressions over column names: a formula of twenty operators is one parsed
+expression instead of twenty calls into the JVM, which counts in operators that loop.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 EARTH_RADIUS_KM = 6371.0
-_SLACK = 1e-9
+_SLACK = "1e-9D"
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_lat = F.radians(lat2 - lat1) / 2
-    half_lon = F.radians(lon2 - lon1) / 2
-    chord = F.sin(half_lat) * F.sin(half_lat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * (
-        F.sin(half_lon) * F.sin(half_lon)
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    half_lat = f"sin(radians({lat2} - {lat1}) / 2)"
+    half_lon = f"sin(radians({lon2} - {lon1}) / 2)"
+    chord = (
+        f"least({half_lat} * {half_lat} + cos(radians({lat1})) * cos(radians({lat2})) * ({half_lon} * {half_lon}), 1.0D)"
     )
-    chord = F.least(chord, F.lit(1.0))
-    return F.lit(EARTH_RADIUS_KM) * (F.lit(2.0) * F.atan2(F.sqrt(chord), F.sqrt(F.lit(1.0) - chord)))
-
+    return f"({EARTH_RADIUS_KM}D * (2 * atan2(sqrt({chord}), sqrt(1 - {chord}))))"
 
-def _wrapped(delta: Column) -> Column:
-    """Longitude difference the short way round, in degrees."""
-    return F.least(F.abs(delta), F.lit(360.0) - F.abs(delta))
 
-
-def box_lower_bound_km(
-    lat: Column, lon: Column, lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column
-) -> Column:
-    """No point of the box is nearer than this.
+def box_lower_bound_km(lat: str, lon: str) -> str:
+    """No point of the box (lat_lo, lat_hi, lon_lo, lon_hi) is nearer than this.
 
     Along the meridian the latitude gap alone is a bound; across it, the distance to the
-    box's nearer bounding meridian is asin(cos(lat) * sin(gap)).
+    box's nearer bounding meridian is asin(cos(lat) * sin(gap)). Longitude wraps around.
     """
-    lat_gap = F.greatest(lat_lo - lat, lat - lat_hi, F.lit(0.0))
-    lon_gap = F.when(lon.between(lon_lo, lon_hi), F.lit(0.0)).otherwise(
-        F.least(_wrapped(lon_lo - lon), _wrapped(lon_hi - lon))
-    )
-    across = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(lon_gap, F.lit(90.0)))))
-    return F.greatest(F.radians(lat_gap), across) * EARTH_RADIUS_KM * (1 - _SLACK) - _SLACK
+    lat_gap = f"greatest(lat_lo - {lat}, {lat} - lat_hi, 0.0D)"
+    to_lo = f"least(abs(lon_lo - {lon}), 360 - abs(lon_lo - {lon}))"
+    to_hi = f"least(abs(lon_hi - {lon}), 360 - abs(lon_hi - {lon}))"
+    lon_gap = f"CASE WHEN {lon} BETWEEN lon_lo AND lon_hi THEN 0.0D ELSE least({to_lo}, {to_hi}, 90.0D) END"
+    across = f"asin(cos(radians({lat})) * sin(radians({lon_gap})))"
+    return f"(greatest(radians({lat_gap}), {across}) * {EARTH_RADIUS_KM}D * (1 - {_SLACK}) - {_SLACK})"
 
 
-def box_upper_bound_km(
-    lat: Column, lon: Column, lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column
-) -> Column:
+def box_upper_bound_km(lat: str, lon: str) -> str:
     """Every point of the box is at most this far: along the own parallel, then the meridian."""
-    lat_gap = F.greatest(F.abs(lat_lo - lat), F.abs(lat_hi - lat))
-    lon_gap = F.least(F.greatest(F.abs(lon_lo - lon), F.abs(lon_hi - lon)), F.lit(180.0))
-    path = F.radians(lat_gap) + F.cos(F.radians(lat)) * F.radians(lon_gap)
-    return path * EARTH_RADIUS_KM * (1 + _SLACK) + _SLACK
+    lat_gap = f"greatest(abs(lat_lo - {lat}), abs(lat_hi - {lat}))"
+    lon_gap = f"least(greatest(abs(lon_lo - {lon}), abs(lon_hi - {lon})), 180.0D)"
+    path = f"(radians({lat_gap}) + cos(radians({lat})) * radians({lon_gap}))"
+    return f"({path} * {EARTH_RADIUS_KM}D * (1 + {_SLACK}) + {_SLACK})"
