@@ -1,0 +1,67 @@
+"""Continuous dispatch: every trigger assigns the orders that wait, on versioned snapshots.
+
+Version v holds the couriers and the orders still waiting before batch v, and what batch v - 1
+assigned. A batch reads version v and writes version v + 1, so a batch that is run again finds the
+same input and overwrites its own output; nothing is updated in place.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from frota.operators.dispatch import couriers_after, dispatch
+
+_ASSIGNED = (
+    "id_pedido bigint, id_restaurante bigint, id_cliente bigint, id_entregador bigint, road_dist double, motivo string"
+)
+
+
+def start_version(folder: str, couriers: DataFrame, waiting: DataFrame) -> None:
+    """Version 0: the couriers as they are and the orders that already wait."""
+    couriers.write.mode("overwrite").parquet(f"{folder}/version=0/couriers")
+    waiting.write.mode("overwrite").parquet(f"{folder}/version=0/waiting")
+
+
+def run_dispatch(
+    new_orders: DataFrame,
+    folder: str,
+    checkpoint: str,
+    restaurants: DataFrame,
+    customers: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+) -> StreamingQuery:
+    """``new_orders`` is a stream with the columns of the waiting orders."""
+
+    def assign(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now, after = f"{folder}/version={batch_id}", f"{folder}/version={batch_id + 1}"
+        couriers = spark.read.parquet(f"{now}/couriers")
+        waiting = spark.read.parquet(f"{now}/waiting")
+        orders = waiting.unionByName(batch.select(*waiting.columns))
+        result = dispatch(orders, restaurants, customers, couriers, nodes, edges)
+        result.write.mode("overwrite").parquet(f"{after}/result")
+        result = spark.read.schema(_ASSIGNED).parquet(f"{after}/result")
+        couriers_after(couriers, result).write.mode("overwrite").parquet(f"{after}/couriers")
+        assigned = result.where("id_entregador IS NOT NULL").select("id_pedido")
+        orders.join(assigned, "id_pedido", "left_anti").write.mode("overwrite").parquet(f"{after}/waiting")
+
+    return (
+        new_orders.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(assign)
+        .start()
+    )
+
+
+def dispatched(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """All assignments up to ``version``, and the orders that still wait with the last reason."""
+    results = [
+        spark.read.schema(_ASSIGNED).parquet(f"{folder}/version={v}/result").withColumn("version", F.lit(v))
+        for v in range(1, version + 1)
+    ]
+    merged = results[0]
+    for part in results[1:]:
+        merged = merged.unionByName(part)
+    return merged.where(F.col("id_entregador").isNotNull() | (F.col("version") == version)).drop("version")

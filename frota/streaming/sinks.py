@@ -1,0 +1,25 @@
+"""Sinks that survive a repeated trigger: one folder per batch id, overwritten when it runs again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+
+def land_batches(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Start a run over everything that is available; results go to ``folder``/batch=N."""
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(land)
+        .start()
+    )
+
+
+def landed(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", folder).option("recursiveFileLookup", True).parquet(folder)

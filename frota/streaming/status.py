@@ -1,0 +1,90 @@
+"""Status updates as a stream: one state row per order."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from frota.functions.status import FIRST_STEP_WITH_COURIER, step_of
+
+OUTCOME = (
+    "seq bigint, ts timestamp_ntz, id_pedido bigint, novo_status string, id_entregador bigint, "
+    "resultado string, courier_evento bigint"
+)
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OrderState(StatefulProcessor):
+    """Holds (passo, courier) of an order; the order table itself is the initial state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.order = handle.getValueState("order", "passo int, courier bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        courier = row["id_entregador"]
+        self.order.update((int(row["passo"]), None if pd.isna(courier) else int(courier)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        updates = pd.concat(rows).sort_values("seq")
+        known = self.order.exists()
+        passo, courier = self.order.get() if known else (None, None)
+        results, carried = [], []
+        for asked, given, courier_ok in zip(updates["passo"], updates["id_entregador"], updates["courier_ok"]):
+            with_courier = courier if pd.isna(given) else int(given)
+            if pd.isna(asked):
+                result = "INVALID_STATUS"
+            elif not known:
+                result = "NOT_FOUND"
+            elif asked >= FIRST_STEP_WITH_COURIER and with_courier is None:
+                result = "NO_COURIER"
+            elif asked != passo + 1:
+                result = "BAD_TRANSITION"
+            elif not courier_ok:
+                result = "UNKNOWN_COURIER"
+            else:
+                result, passo, courier = "OK", int(asked), with_courier
+            results.append(result)
+            carried.append(courier if result == "OK" else None)
+        if "OK" in results:
+            self.order.update((passo, courier))
+        updates = updates.assign(id_pedido=key[0], resultado=results)
+        updates["courier_evento"] = pd.array(carried, dtype="Int64")
+        updates["id_entregador"] = updates["id_entregador"].astype("Int64")
+        yield updates[[c.split()[0] for c in OUTCOME.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def judge_stream(updates: DataFrame, orders: DataFrame, couriers: DataFrame) -> DataFrame:
+    """The streaming form of ``judge_updates``: (.., resultado, courier_evento) per update.
+
+    ``updates`` is a stream of (seq, ts, id_pedido, novo_status, id_entregador). Rows of one order
+    are taken in ``seq`` order within a trigger; how much one trigger brings is bounded at the
+    source (files or offsets per trigger). No watermark is set: state is one row per order.
+    """
+    spark = updates.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    prepared = updates.join(
+        couriers.selectExpr("id_entregador", "true AS _known"), "id_entregador", "left"
+    ).select(
+        "seq",
+        "ts",
+        "id_pedido",
+        "novo_status",
+        "id_entregador",
+        step_of(F.col("novo_status")).alias("passo"),
+        F.expr("id_entregador IS NULL OR _known IS NOT NULL AS courier_ok"),
+    )
+    initial = orders.select("id_pedido", step_of(F.col("status")).alias("passo"), "id_entregador").groupBy("id_pedido")
+    return prepared.groupBy("id_pedido").transformWithStateInPandas(
+        statefulProcessor=OrderState(),
+        outputStructType=OUTCOME,
+        outputMode="append",
+        timeMode="none",
+        initialState=initial,
+    )
