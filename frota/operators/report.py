@@ -57,9 +57,9 @@ def exact_ranks(
         # the brackets are counted before they are broadcast; many groups are joined by shuffle
         if part.count() * _ROW_BYTES <= broadcast_limit(df.sparkSession):
             part = F.broadcast(part)
-        same = [base[k].eqNullSafe(part[k]) for k in keys]
-        hit = base.join(part, [*same, base["_v"] > part["_lo"], base["_v"] < part["_hi"]])
-        return hit.select("_v", *[part[c] for c in part.columns])
+        same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+        within = (F.col("b._v") > F.col("p._lo")) & (F.col("b._v") < F.col("p._hi"))
+        return base.alias("b").join(part.alias("p"), [*same, within]).select("b._v", "p.*")
 
     while True:
         pending = brackets.where(F.col("_found").isNull())

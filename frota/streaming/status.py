@@ -18,20 +18,20 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class OrderState(StatefulProcessor):
-    """Holds (passo, courier) of an order; the order table itself is the initial state."""
+    """Holds (passo, courier) of an order from its first accepted update on; before that the order
+    is as the snapshot says, whose columns come with every update."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.order = handle.getValueState("order", "passo int, courier bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        courier = row["id_entregador"]
-        self.order.update((int(row["passo"]), None if pd.isna(courier) else int(courier)))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         updates = pd.concat(rows).sort_values("seq")
-        known = self.order.exists()
-        passo, courier = self.order.get() if known else (None, None)
+        first = updates.iloc[0]
+        known = not pd.isna(first["passo0"])
+        if self.order.exists():
+            passo, courier = self.order.get()
+        else:
+            passo, courier = first["passo0"], None if pd.isna(first["courier0"]) else int(first["courier0"])
         results, carried = [], []
         for asked, given, courier_ok in zip(updates["passo"], updates["id_entregador"], updates["courier_ok"]):
             with_courier = courier if pd.isna(given) else int(given)
@@ -65,26 +65,35 @@ def judge_stream(updates: DataFrame, orders: DataFrame, couriers: DataFrame) ->
 
     ``updates`` is a stream of (seq, ts, id_pedido, novo_status, id_entregador). Rows of one order
     are taken in ``seq`` order within a trigger; how much one trigger brings is bounded at the
-    source (files or offsets per trigger). No watermark is set: state is one row per order.
+    source (files or offsets per trigger). No watermark is set: state is one row per order that
+    accepted an update. The order snapshot is the one the stream starts from.
     """
     spark = updates.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    prepared = updates.join(
-        couriers.selectExpr("id_entregador", "true AS _known"), "id_entregador", "left"
-    ).select(
-        "seq",
-        "ts",
-        "id_pedido",
-        "novo_status",
-        "id_entregador",
-        step_of(F.col("novo_status")).alias("passo"),
-        F.expr("id_entregador IS NULL OR _known IS NOT NULL AS courier_ok"),
+    prepared = (
+        updates.join(couriers.selectExpr("id_entregador", "true AS _known"), "id_entregador", "left")
+        .join(
+            orders.select(
+                "id_pedido", step_of(F.col("status")).alias("passo0"), F.col("id_entregador").alias("courier0")
+            ),
+            "id_pedido",
+            "left",
+        )
+        .select(
+            "seq",
+            "ts",
+            "id_pedido",
+            "novo_status",
+            "id_entregador",
+            step_of(F.col("novo_status")).alias("passo"),
+            F.expr("id_entregador IS NULL OR _known IS NOT NULL AS courier_ok"),
+            "passo0",
+            "courier0",
+        )
     )
-    initial = orders.select("id_pedido", step_of(F.col("status")).alias("passo"), "id_entregador").groupBy("id_pedido")
     return prepared.groupBy("id_pedido").transformWithStateInPandas(
         statefulProcessor=OrderState(),
         outputStructType=OUTCOME,
         outputMode="append",
         timeMode="none",
-        initialState=initial,
     )
