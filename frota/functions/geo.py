@@ -19,23 +19,23 @@ def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"({EARTH_RADIUS_KM}D * (2 * atan2(sqrt({chord}), sqrt(1 - {chord}))))"
 
 
-def box_lower_bound_km(lat: str, lon: str) -> str:
+def box_lower_bound_km(lat: str, lon: str, box: str = "") -> str:
     """No point of the box (lat_lo, lat_hi, lon_lo, lon_hi) is nearer than this.
 
     Along the meridian the latitude gap alone is a bound; across it, the distance to the
     box's nearer bounding meridian is asin(cos(lat) * sin(gap)). Longitude wraps around.
     """
-    lat_gap = f"greatest(lat_lo - {lat}, {lat} - lat_hi, 0.0D)"
-    to_lo = f"least(abs(lon_lo - {lon}), 360 - abs(lon_lo - {lon}))"
-    to_hi = f"least(abs(lon_hi - {lon}), 360 - abs(lon_hi - {lon}))"
-    lon_gap = f"CASE WHEN {lon} BETWEEN lon_lo AND lon_hi THEN 0.0D ELSE least({to_lo}, {to_hi}, 90.0D) END"
+    lat_gap = f"greatest({box}lat_lo - {lat}, {lat} - {box}lat_hi, 0.0D)"
+    to_lo = f"least(abs({box}lon_lo - {lon}), 360 - abs({box}lon_lo - {lon}))"
+    to_hi = f"least(abs({box}lon_hi - {lon}), 360 - abs({box}lon_hi - {lon}))"
+    lon_gap = f"CASE WHEN {lon} BETWEEN {box}lon_lo AND {box}lon_hi THEN 0.0D ELSE least({to_lo}, {to_hi}, 90.0D) END"
     across = f"asin(cos(radians({lat})) * sin(radians({lon_gap})))"
     return f"(greatest(radians({lat_gap}), {across}) * {EARTH_RADIUS_KM}D * (1 - {_SLACK}) - {_SLACK})"
 
 
-def box_upper_bound_km(lat: str, lon: str) -> str:
+def box_upper_bound_km(lat: str, lon: str, box: str = "") -> str:
     """Every point of the box is at most this far: along the own parallel, then the meridian."""
-    lat_gap = f"greatest(abs(lat_lo - {lat}), abs(lat_hi - {lat}))"
-    lon_gap = f"least(greatest(abs(lon_lo - {lon}), abs(lon_hi - {lon})), 180.0D)"
+    lat_gap = f"greatest(abs({box}lat_lo - {lat}), abs({box}lat_hi - {lat}))"
+    lon_gap = f"least(greatest(abs({box}lon_lo - {lon}), abs({box}lon_hi - {lon})), 180.0D)"
     path = f"(radians({lat_gap}) + cos(radians({lat})) * radians({lon_gap}))"
     return f"({path} * {EARTH_RADIUS_KM}D * (1 + {_SLACK}) + {_SLACK})"

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from frota.session import broadcast_limit, cut_lineage, shuffle_width
@@ -37,37 +39,48 @@ def first_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from_node", "to_node").agg(F.min_by("weight", "edge_seq").alias("weight"))
 
 
-def distances(edges: DataFrame, pairs: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Roads:
+    """An edge table made ready for searches: ``light`` holds the smallest weight per pair of nodes,
+    ``shared`` the same as broadcast arrays if it was counted and found small."""
+
+    edges: DataFrame
+    light: DataFrame
+    shared: Broadcast | None
+
+
+def roads(edges: DataFrame) -> Roads:
+    edges = cut_lineage(edges.select("edge_seq", "from_node", "to_node", "weight"))
+    light = cut_lineage(relax_edges(edges))
+    spark = edges.sparkSession
+    if light.count() * _EDGE_BYTES > broadcast_limit(spark):
+        return Roads(edges, light, None)
+    graph = light.toPandas().sort_values(["to_node", "from_node"])
+    nodes = np.unique(graph[["from_node", "to_node"]].to_numpy())
+    tail = np.searchsorted(nodes, graph["from_node"].to_numpy())
+    head = np.searchsorted(nodes, graph["to_node"].to_numpy())
+    return Roads(edges, light, spark.sparkContext.broadcast((nodes, tail, head, graph["weight"].to_numpy())))
+
+
+def distances(graph: Roads, pairs: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(source, node, d, step): distance of every node found from each source.
 
     ``sources`` (source) asks for everything reachable. ``pairs`` (source, target) asks for these
     targets only: a source stops spreading beyond its farthest target once all are reached, so
     distances beyond that are not to be used. ``step`` is the round in which ``d`` was found.
     """
-    light = cut_lineage(relax_edges(edges))
     if pairs is not None:
         # at most one entry per node of the graph
         wanted = pairs.groupBy("source").agg(F.collect_set("target").alias("targets"))
     else:
         wanted = sources.selectExpr("source", "CAST(NULL AS ARRAY<BIGINT>) AS targets").distinct()
-    if light.count() * _EDGE_BYTES <= broadcast_limit(edges.sparkSession):
-        return _search_blocks(light, wanted)
-    return _search_rounds(light, wanted)
+    if graph.shared is not None:
+        return _search_blocks(graph.shared, wanted)
+    return _search_rounds(graph.light, wanted)
 
 
-def _search_blocks(light: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Search with the broadcast edge table (counted by the caller)."""
-    spark = light.sparkSession
-    graph = light.toPandas().sort_values(["to_node", "from_node"])
-    nodes = np.unique(graph[["from_node", "to_node"]].to_numpy())
-    shared = spark.sparkContext.broadcast(
-        (
-            nodes,
-            np.searchsorted(nodes, graph["from_node"].to_numpy()),
-            np.searchsorted(nodes, graph["to_node"].to_numpy()),
-            graph["weight"].to_numpy(),
-        )
-    )
+def _search_blocks(shared: Broadcast, wanted: DataFrame) -> DataFrame:
+    """Every task searches blocks of its sources against the broadcast edges."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, tail, head, weight = shared.value
@@ -86,7 +99,7 @@ def _search_blocks(light: DataFrame, wanted: DataFrame) -> DataFrame:
                     {"source": source[row], "node": nodes[col], "d": dist[row, col], "step": step[row, col]}
                 )
 
-    spread = wanted.repartition(shuffle_width(spark), "source")
+    spread = wanted.repartition(shuffle_width(wanted.sparkSession), "source")
     return spread.mapInPandas(search, _FOUND)
 
 
@@ -169,17 +182,16 @@ def _search_rounds(light: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.where(f"d < {never}").select("source", "node", "d", "step")
 
 
-def predecessors(found: DataFrame, edges: DataFrame) -> DataFrame:
+def predecessors(found: DataFrame, graph: Roads) -> DataFrame:
     """(source, node, prev): the last node before ``node`` on its shortest path.
 
     Among the edges that reach the distance exactly, the end with the smaller (distance, node)
     wins, which is the order a priority queue settles them in. Along zero-weight edges distances
     tie; there the earlier round decides, so no path ever closes a circle.
     """
-    light = relax_edges(edges)
     ahead = found.selectExpr("source", "node AS to_node", "d AS d_to", "step AS step_to")
     tight = (
-        found.join(light, F.col("node") == F.col("from_node"))
+        found.join(graph.light, F.col("node") == F.col("from_node"))
         .join(ahead, ["source", "to_node"])
         .where("d + weight = d_to AND (d < d_to OR step < step_to)")
     )

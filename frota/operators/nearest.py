@@ -5,17 +5,19 @@ cell has and their bounding box. A query point starts at the few cells that cove
 goes down two levels at a time, keeping only cells that may still hold one of its k nearest: those
 whose least possible distance is within the k-th smallest greatest-possible distance. Cells end in
 leaves of a bounded number of targets, also inside a crowded cell, so no point is ever paired with
-more than a handful of leaves. The result is exact.
+more than a handful of leaves. The result is exact. The pyramid is built once per target table and
+serves any number of query tables.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from frota.functions.geo import box_lower_bound_km, box_upper_bound_km, haversine_km
-from frota.session import broadcast_limit, cut_lineage
+from frota.session import broadcast_limit, cut_lineage, shuffle_width
 
 DEPTH = 30
 STEP = 2
@@ -88,21 +90,26 @@ def _pruned(state: DataFrame, k: int) -> DataFrame:
     )
 
 
-def nearest(
-    points: DataFrame,
-    targets: DataFrame,
-    k: int,
-    point_id: str,
-    target_id: str,
-    tie: str,
-    leaf_targets: int = LEAF_TARGETS,
-) -> DataFrame:
-    """(point_id, target_id, dist_km, rank 1..k) for every point.
+@dataclass
+class NearestIndex:
+    """A materialised pyramid: ``leaves`` holds the targets with their leaf level, ``cells`` the
+    cells of every level in ``steps``, ``rows`` how many cells a level has, ``start`` the top cells
+    as an array literal."""
 
-    ``points`` has (point_id, lat, lon), ``targets`` (target_id, tie, lat, lon); equal distances go
-    by ``tie``. Rows without coordinates take no part.
-    """
-    asked = points.where("lat IS NOT NULL AND lon IS NOT NULL")
+    target_id: str
+    k: int
+    n: int
+    leaves: DataFrame
+    cells: DataFrame | None
+    steps: list[int]
+    rows: dict[int, int]
+    start: str
+
+
+def nearest_index(
+    targets: DataFrame, target_id: str, tie: str, k: int, leaf_targets: int = LEAF_TARGETS
+) -> NearestIndex:
+    """Index ``targets`` (target_id, tie, lat, lon) for up to ``k`` neighbours per query point."""
     side = 1 << DEPTH
     # of targets at one spot only the first k can matter; the limit is applied before the shuffle
     placed = cut_lineage(
@@ -121,8 +128,7 @@ def nearest(
     )
     extent = placed.selectExpr("count(*) AS n", "min(gx)", "max(gx)", "min(gy)", "max(gy)").first()
     if extent["n"] == 0:
-        empty = placed.selectExpr(f"_target AS {target_id}", "lat AS dist_km", "1 AS rank")
-        return asked.select(point_id).join(empty, F.lit(False)).select(point_id, target_id, "dist_km", "rank")
+        return NearestIndex(target_id, k, 0, placed, None, [], {}, "")
 
     # the pyramid down to the depth an even spread needs, then deeper only below crowded cells
     top = _start_level(extent[1:3], extent[3:5])
@@ -146,55 +152,94 @@ def nearest(
 
     # the start level has at most 64 cells, so it is a literal
     root = pyramid.where(f"level = {top}").selectExpr(*_CELL.split(", ")).collect()
-    starts = ", ".join(
+    start = ", ".join(
         f"struct({c.cx}L AS cx, {c.cy}L AS cy, {c.n}L AS n, {c.lat_lo!r}D AS lat_lo, {c.lat_hi!r}D AS lat_hi, "
         f"{c.lon_lo!r}D AS lon_lo, {c.lon_hi!r}D AS lon_hi)"
         for c in root
     )
+    rows = {level: size["cells"] for level, size in sizes.items()}
+    return NearestIndex(target_id, k, extent["n"], leaves, pyramid, steps, rows, f"array({start})")
+
+
+def nearest(points: DataFrame, index: NearestIndex, point_id: str, k: int | None = None) -> DataFrame:
+    """(point_id, target_id, dist_km, rank 1..k) for every point (point_id, lat, lon).
+
+    Equal distances go by the index's tie column. Points without coordinates take no part.
+    """
+    k = index.k if k is None else k
+    if k > index.k:
+        raise ValueError(f"the index serves up to {index.k} neighbours")
+    asked = points.where("lat IS NOT NULL AND lon IS NOT NULL")
+    if index.n == 0:
+        empty = index.leaves.selectExpr(f"_target AS {index.target_id}", "lat AS dist_km", "1 AS rank")
+        return asked.select(point_id).join(empty, F.lit(False)).select(
+            point_id, index.target_id, "dist_km", "rank"
+        )
+    steps = index.steps
+    near, far = box_lower_bound_km("q_lat", "q_lon", "c."), box_upper_bound_km("q_lat", "q_lon", "c.")
     state = (
         asked.groupBy(F.expr("lat AS q_lat"), F.expr("lon AS q_lon"))
         .agg(F.expr("count(*) AS _copies"))
-        .selectExpr("q_lat", "q_lon", f"{top} AS at", f"inline(array({starts}))")
+        # a fixed width: these rows are small now and many soon, so they must not be packed into few tasks
+        .repartition(shuffle_width(points.sparkSession))
+        .selectExpr("q_lat", "q_lon", f"transform({index.start}, c -> struct(c AS cell, {near} AS near, {far} AS far)) AS top")
+        # a cell of k targets bounds the k-th distance; most far cells go before rows are made of them
+        .selectExpr("*", f"array_min(transform(filter(top, t -> t.cell.n >= {k}), t -> t.far)) AS reach")
+        .selectExpr(
+            "q_lat",
+            "q_lon",
+            f"{steps[0]} AS at",
+            "inline(transform(filter(top, t -> reach IS NULL OR t.near <= reach), t -> t.cell))",
+        )
     )
     state = _pruned(state, k)
     for above, level in zip(steps, steps[1:]):
         gap = level - above
-        children = pyramid.where(f"level = {level}").selectExpr(
+        children = index.cells.where(f"level = {level}").selectExpr(
             f"{above} AS at", f"shiftright(cx, {gap}) AS cx", f"shiftright(cy, {gap}) AS cy",
             f"struct(level AS at, {_CELL}) AS _child",
         )
-        state = state.join(_sized(children, sizes[level]["cells"]), ["at", "cx", "cy"], "left").selectExpr(
+        state = state.join(_sized(children, index.rows[level]), ["at", "cx", "cy"], "left").selectExpr(
             "q_lat", "q_lon", f"coalesce(_child, struct(at, {_CELL})) AS _cell"
         )
         state = _pruned(state.select(*_QUERY, "_cell.*"), k)
 
-    in_leaf = leaves.selectExpr(
+    in_leaf = index.leaves.selectExpr(
         "_target", "_tie", "lat", "lon", "leaf AS at",
         f"shiftright(gx, {DEPTH} - leaf) AS cx", f"shiftright(gy, {DEPTH} - leaf) AS cy",
     )
     ranked = (
         state.select(*_QUERY, "at", "cx", "cy")
-        .join(_sized(in_leaf, extent["n"]), ["at", "cx", "cy"])
+        .join(_sized(in_leaf, index.n), ["at", "cx", "cy"])
         .selectExpr(*_QUERY, "_target", "_tie", f"{haversine_km('q_lat', 'q_lon', 'lat', 'lon')} AS dist_km")
         .selectExpr("*", "row_number() OVER (PARTITION BY q_lat, q_lon ORDER BY dist_km, _tie) AS rank")
         .where(F.col("rank") <= k)
     )
     here = (asked["lat"] == ranked["q_lat"]) & (asked["lon"] == ranked["q_lon"])
-    return asked.join(ranked, here).selectExpr(point_id, f"_target AS {target_id}", "dist_km", "rank")
+    return asked.join(ranked, here).selectExpr(
+        point_id, f"_target AS {index.target_id}", "dist_km", "rank"
+    )
+
+
+def node_index(nodes: DataFrame) -> NearestIndex:
+    """Road nodes (node_id, node_pos, lat, lon); the node listed first wins ties."""
+    return nearest_index(nodes, "node_id", "node_pos", 1)
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, point_id: str) -> DataFrame:
-    """(point_id, node_id, dist_km); the node listed first wins ties."""
-    return nearest(points, nodes, 1, point_id, "node_id", "node_pos").drop("rank")
+def nearest_nodes(points: DataFrame, index: NearestIndex, key: str) -> DataFrame:
+    """(key, node_id) for a table with latitude and longitude."""
+    placed = points.selectExpr(key, "latitude AS lat", "longitude AS lon")
+    return nearest(placed, index, key).select(key, "node_id")
 
 
 def nearest_couriers(restaurants: DataFrame, couriers: DataFrame, k: int = 3) -> DataFrame:
     """(id_restaurante, id_entregador, dist_km, rank): the k nearest of the given couriers."""
-    return nearest(
-        restaurants.selectExpr("id_restaurante", "latitude AS lat", "longitude AS lon"),
+    index = nearest_index(
         couriers.selectExpr("id_entregador", "latitude AS lat", "longitude AS lon"),
-        k,
-        "id_restaurante",
         "id_entregador",
         "id_entregador",
+        k,
+    )
+    return nearest(
+        restaurants.selectExpr("id_restaurante", "latitude AS lat", "longitude AS lon"), index, "id_restaurante"
     )

@@ -30,6 +30,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _nodes(spark: SparkSession, d: str) -> nearest.NearestIndex:
+    return nearest.node_index(table(spark, d, "grafo_nos"))
+
+
 def _r(column: str, digits: int = 6) -> str:
     return f"round({column}, {digits}) AS {column}"
 
@@ -288,12 +292,12 @@ def track_orders_as_of(spark, d):
 
 @query
 def nearest_node_restaurants(spark, d):
-    return dp.snapped(table(spark, d, "restaurantes"), table(spark, d, "grafo_nos"), "id_restaurante")
+    return nearest.nearest_nodes(table(spark, d, "restaurantes"), _nodes(spark, d), "id_restaurante")
 
 
 @query
 def nearest_node_customers(spark, d):
-    return dp.snapped(table(spark, d, "clientes"), table(spark, d, "grafo_nos"), "id_cliente")
+    return nearest.nearest_nodes(table(spark, d, "clientes"), _nodes(spark, d), "id_cliente")
 
 
 @query
@@ -348,9 +352,10 @@ def total_requests(spark, d):
 @query
 def best_courier_by_road(spark, d):
     """Every waiting order on its own: the best of the three nearest available couriers."""
-    nodes, edges = table(spark, d, "grafo_nos"), table(spark, d, "grafo_arestas")
-    rest, free = _placed(spark, d, "restaurantes", "id_restaurante"), _placed(spark, d, "entregadores", "id_entregador")
-    lists = dp.courier_lists(rest, free, edges, dp.CANDIDATES)
+    index, graph_ready = _nodes(spark, d), graph.roads(table(spark, d, "grafo_arestas"))
+    rest = _placed(table(spark, d, "restaurantes"), index, "id_restaurante")
+    free = _placed(reads.available_couriers(table(spark, d, "entregadores")), index, "id_entregador")
+    lists = dp.courier_lists(rest, free, graph_ready, dp.CANDIDATES)
     # one answer per restaurant, then joined to its orders
     best = dp.best_by_road(lists.withColumnRenamed("id_restaurante", "id_pedido")).withColumnRenamed(
         "id_pedido", "id_restaurante"
@@ -359,54 +364,56 @@ def best_courier_by_road(spark, d):
     return waiting.join(best, "id_restaurante", "left").select("id_pedido", "id_entregador", "road_dist")
 
 
-def _placed(spark, d, view: str, key: str) -> DataFrame:
-    """The rows of a table with a position, and their crossing."""
-    rows = table(spark, d, view)
-    if view == "entregadores":
-        rows = reads.available_couriers(rows)
+def _placed(rows: DataFrame, index: nearest.NearestIndex, key: str) -> DataFrame:
+    """Rows with a position, and their crossing."""
     rows = rows.select(key, "latitude", "longitude")
-    return cut_lineage(rows.join(dp.snapped(rows, table(spark, d, "grafo_nos"), key), key))
+    return cut_lineage(rows.join(nearest.nearest_nodes(rows, index, key), key))
 
 
 # ---- graph
 
 
+def _crossing(spark, d, index: nearest.NearestIndex, view: str, name: str) -> DataFrame:
+    """(key, name): the crossing of every row of a table that has a position."""
+    key = schemas.KEYS[view]
+    return nearest.nearest_nodes(table(spark, d, view), index, key).withColumnRenamed("node_id", name)
+
+
 def _delivery_pairs(spark, d) -> DataFrame:
     """(source, target): restaurant and customer crossing of every waiting order."""
     waiting = reads.waiting_orders(table(spark, d, "pedidos")).select("id_restaurante", "id_cliente")
-    nodes = table(spark, d, "grafo_nos")
-    rest = dp.snapped(table(spark, d, "restaurantes"), nodes, "id_restaurante").withColumnRenamed("node_id", "source")
-    cust = dp.snapped(table(spark, d, "clientes"), nodes, "id_cliente").withColumnRenamed("node_id", "target")
+    index = _nodes(spark, d)
+    rest, cust = _crossing(spark, d, index, "restaurantes", "source"), _crossing(spark, d, index, "clientes", "target")
     pairs = waiting.join(rest, "id_restaurante").join(cust, "id_cliente").select("source", "target").distinct()
     return cut_lineage(pairs)
 
 
-def _paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    found = cut_lineage(graph.distances(edges, pairs=pairs))
-    return graph.paths(found, graph.predecessors(found, edges), pairs)
+def _paths(ready: graph.Roads, pairs: DataFrame) -> DataFrame:
+    found = cut_lineage(graph.distances(ready, pairs=pairs))
+    return graph.paths(found, graph.predecessors(found, ready), pairs)
 
 
 def _hops(spark, d, pairs: DataFrame) -> DataFrame:
-    edges = cut_lineage(table(spark, d, "grafo_arestas"))
-    return cut_lineage(routes.route_hops(_paths(edges, pairs), table(spark, d, "grafo_nos"), edges))
+    ready = graph.roads(table(spark, d, "grafo_arestas"))
+    return cut_lineage(routes.route_hops(_paths(ready, pairs), table(spark, d, "grafo_nos"), ready.edges))
 
 
 @query
 def shortest_distances(spark, d):
-    sources = dp.snapped(table(spark, d, "restaurantes"), table(spark, d, "grafo_nos"), "id_restaurante")
-    found = graph.distances(table(spark, d, "grafo_arestas"), sources=sources.selectExpr("node_id AS source").distinct())
+    sources = _crossing(spark, d, _nodes(spark, d), "restaurantes", "source").select("source").distinct()
+    found = graph.distances(graph.roads(table(spark, d, "grafo_arestas")), sources=sources)
     return found.select("source", "node", "d")
 
 
 @query
 def unreachable_pairs(spark, d):
     pairs = _delivery_pairs(spark, d)
-    return graph.unreachable(pairs, graph.distances(table(spark, d, "grafo_arestas"), pairs=pairs))
+    return graph.unreachable(pairs, graph.distances(graph.roads(table(spark, d, "grafo_arestas")), pairs=pairs))
 
 
 @query
 def paths(spark, d):
-    return _paths(cut_lineage(table(spark, d, "grafo_arestas")), _delivery_pairs(spark, d))
+    return _paths(graph.roads(table(spark, d, "grafo_arestas")), _delivery_pairs(spark, d))
 
 
 _HOP = ["hop", "from_node", "to_node", _r("from_lat"), _r("from_lon"), _r("to_lat"), _r("to_lon"), "weight"]
@@ -419,12 +426,12 @@ def delivery_routes(spark, d):
 
 def _moving_orders(spark, d) -> DataFrame:
     """Orders on the way: crossings of courier, restaurant and customer, and when the courier set off."""
-    nodes = table(spark, d, "grafo_nos")
+    index = _nodes(spark, d)
     on_way = table(spark, d, "pedidos").where("status IN ('PICKED_UP', 'IN_TRANSIT')")
     # positions of all couriers that have one, busy or not
-    courier = dp.snapped(table(spark, d, "entregadores"), nodes, "id_entregador").withColumnRenamed("node_id", "origem")
-    rest = dp.snapped(table(spark, d, "restaurantes"), nodes, "id_restaurante").withColumnRenamed("node_id", "restaurante")
-    cust = dp.snapped(table(spark, d, "clientes"), nodes, "id_cliente").withColumnRenamed("node_id", "cliente")
+    courier = _crossing(spark, d, index, "entregadores", "origem")
+    rest = _crossing(spark, d, index, "restaurantes", "restaurante")
+    cust = _crossing(spark, d, index, "clientes", "cliente")
     sets_off = table(spark, d, "alocacoes").where("status = 'ATIVO'").selectExpr("id_pedido", "ts AS inicio")
     return cut_lineage(
         on_way.join(courier, "id_entregador")
@@ -490,11 +497,11 @@ def dispatch(spark, d):
 @query
 def dispatch_routes(spark, d):
     """Both legs of every assigned order; an unreachable customer has an empty second leg."""
-    nodes = table(spark, d, "grafo_nos")
+    index = _nodes(spark, d)
     given = cut_lineage(_dispatch(spark, d).where("id_entregador IS NOT NULL"))
-    courier = dp.snapped(table(spark, d, "entregadores"), nodes, "id_entregador").withColumnRenamed("node_id", "origem")
-    rest = dp.snapped(table(spark, d, "restaurantes"), nodes, "id_restaurante").withColumnRenamed("node_id", "restaurante")
-    cust = dp.snapped(table(spark, d, "clientes"), nodes, "id_cliente").withColumnRenamed("node_id", "cliente")
+    courier = _crossing(spark, d, index, "entregadores", "origem")
+    rest = _crossing(spark, d, index, "restaurantes", "restaurante")
+    cust = _crossing(spark, d, index, "clientes", "cliente")
     legs = given.join(courier, "id_entregador").join(rest, "id_restaurante").join(cust, "id_cliente").selectExpr(
         "id_pedido",
         "id_entregador",
