@@ -22,7 +22,7 @@ from frota.session import broadcast_limit, cut_lineage, shuffle_width
 
 _EDGE_BYTES = 48
 _BLOCK_CELLS = 2_000_000
-_FOUND = "source bigint, node bigint, d double, step int"
+_FOUND = "source bigint, node bigint, d double, step int, prev bigint"
 
 
 def relax_edges(edges: DataFrame) -> DataFrame:
@@ -63,11 +63,12 @@ def roads(edges: DataFrame) -> Roads:
 
 
 def distances(graph: Roads, pairs: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """(source, node, d, step): distance of every node found from each source.
+    """(source, node, d, step, prev): distance of every node found from each source.
 
     ``sources`` (source) asks for everything reachable. ``pairs`` (source, target) asks for these
     targets only: a source stops spreading beyond its farthest target once all are reached, so
-    distances beyond that are not to be used. ``step`` is the round in which ``d`` was found.
+    distances beyond that are not to be used. ``step`` is the round in which ``d`` was found,
+    ``prev`` the last node before ``node`` on the path (see ``predecessors``).
     """
     if pairs is not None:
         # at most one entry per node of the graph
@@ -76,7 +77,8 @@ def distances(graph: Roads, pairs: DataFrame | None = None, sources: DataFrame |
         wanted = sources.selectExpr("source", "CAST(NULL AS ARRAY<BIGINT>) AS targets").distinct()
     if graph.shared is not None:
         return _search_blocks(graph.shared, wanted)
-    return _search_rounds(graph.light, wanted)
+    found = _search_rounds(graph.light, wanted)
+    return found.join(predecessors(found, graph.light), ["source", "node"], "left")
 
 
 def _search_blocks(shared: Broadcast, wanted: DataFrame) -> DataFrame:
@@ -84,25 +86,32 @@ def _search_blocks(shared: Broadcast, wanted: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, tail, head, weight = shared.value
-        size = max(1, _BLOCK_CELLS // max(len(nodes), 1))
+        size = max(1, _BLOCK_CELLS // max(len(weight), 1))
         for batch in batches:
             on_graph = np.isin(batch["source"].to_numpy(), nodes)
             alone = batch["source"].to_numpy()[~on_graph]
-            yield pd.DataFrame({"source": alone, "node": alone, "d": 0.0, "step": 0})
+            yield _rows(alone, alone, 0.0, 0, np.full(len(alone), -1))
             batch = batch[on_graph]
             for start in range(0, len(batch), size):
                 block = batch.iloc[start : start + size]
                 source = block["source"].to_numpy()
                 dist, step = relax_block(source, list(block["targets"]), nodes, tail, head, weight)
+                before = last_nodes(dist, step, tail, head, weight)
                 row, col = np.nonzero(np.isfinite(dist))
-                yield pd.DataFrame(
-                    {"source": source[row], "node": nodes[col], "d": dist[row, col], "step": step[row, col]}
-                )
+                prev = before[row, col]
+                prev = np.where(prev < 0, -1, nodes[prev])
+                yield _rows(source[row], nodes[col], dist[row, col], step[row, col], prev)
 
     spread = wanted.repartition(shuffle_width(wanted.sparkSession), "source")
     return spread.mapInPandas(search, _FOUND)
 
 
+def _rows(source, node, d, step, prev) -> pd.DataFrame:
+    rows = pd.DataFrame({"source": source, "node": node, "d": d, "step": step, "prev": pd.array(prev, dtype="Int64")})
+    rows.loc[rows["prev"] < 0, "prev"] = pd.NA
+    return rows
+
+
 def relax_block(source, targets, nodes, tail, head, weight):
     """Distances and rounds, one row per source and one column per node.
 
@@ -140,6 +149,21 @@ def relax_block(source, targets, nodes, tail, head, weight):
     return dist, step
 
 
+def last_nodes(dist, step, tail, head, weight):
+    """The last node before each node, -1 where there is none; the rule is that of ``predecessors``."""
+    prev = np.full(dist.shape, -1)
+    if len(weight) == 0:
+        return prev
+    first = np.flatnonzero(np.diff(head, prepend=-1))
+    here, there = dist[:, tail], dist[:, head]
+    tight = (here + weight == there) & np.isfinite(there) & ((here < there) | (step[:, tail] < step[:, head]))
+    near = np.where(tight, here, np.inf)
+    nearest = np.repeat(np.minimum.reduceat(near, first, axis=1), np.diff(first, append=len(head)), axis=1)
+    chosen = np.minimum.reduceat(np.where(tight & (near == nearest), tail, dist.shape[1]), first, axis=1)
+    prev[:, head[first]] = np.where(chosen < dist.shape[1], chosen, -1)
+    return prev
+
+
 def _search_rounds(light: DataFrame, wanted: DataFrame) -> DataFrame:
     """Search with edges too many to broadcast: only fresh rows are shuffled to the edges."""
     never = "CAST('Infinity' AS DOUBLE)"
@@ -182,7 +206,7 @@ def _search_rounds(light: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.where(f"d < {never}").select("source", "node", "d", "step")
 
 
-def predecessors(found: DataFrame, graph: Roads) -> DataFrame:
+def predecessors(found: DataFrame, light: DataFrame) -> DataFrame:
     """(source, node, prev): the last node before ``node`` on its shortest path.
 
     Among the edges that reach the distance exactly, the end with the smaller (distance, node)
@@ -191,7 +215,7 @@ def predecessors(found: DataFrame, graph: Roads) -> DataFrame:
     """
     ahead = found.selectExpr("source", "node AS to_node", "d AS d_to", "step AS step_to")
     tight = (
-        found.join(graph.light, F.col("node") == F.col("from_node"))
+        found.join(light, F.col("node") == F.col("from_node"))
         .join(ahead, ["source", "to_node"])
         .where("d + weight = d_to AND (d < d_to OR step < step_to)")
     )
@@ -200,7 +224,7 @@ def predecessors(found: DataFrame, graph: Roads) -> DataFrame:
     )
 
 
-def paths(found: DataFrame, previous: DataFrame, pairs: DataFrame) -> DataFrame:
+def paths(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, pos, node): the nodes of each asked path, pos 0 at the source.
 
     Unreachable pairs have no rows; source = target has one. Ancestors are found by doubling, so a
@@ -213,7 +237,8 @@ def paths(found: DataFrame, previous: DataFrame, pairs: DataFrame) -> DataFrame:
     # the hops of a path never exceed the round that found its distance
     longest = asked.agg(F.max("step")).first()[0] or 0
     sources = asked.select("source").distinct()
-    jump = cut_lineage(previous.join(sources, "source", "left_semi").selectExpr("source", "node", "prev AS up"))
+    known = found.where("prev IS NOT NULL").join(sources, "source", "left_semi")
+    jump = cut_lineage(known.selectExpr("source", "node", "prev AS up"))
     walk = asked.selectExpr("source", "target", "target AS node", "0 AS back")
     for power in range(math.ceil(math.log2(longest + 1))):
         walk = (

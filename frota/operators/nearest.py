@@ -58,9 +58,14 @@ def _pyramid(targets: DataFrame, steps: list[int]) -> DataFrame:
     return stacked
 
 
-def _level_sizes(pyramid: DataFrame) -> dict:
-    """Cells and fullest cell per level: at most DEPTH + 1 rows."""
-    found = pyramid.groupBy("level").agg(F.expr("count(*) AS cells"), F.expr("max(n) AS largest"))
+def _level_sizes(pyramid: DataFrame, top: int) -> dict:
+    """Cells and fullest cell per level, at most DEPTH + 1 rows; for the start level, of at most 64
+    cells, also the cells."""
+    found = pyramid.groupBy("level").agg(
+        F.expr("count(*) AS cells"),
+        F.expr("max(n) AS largest"),
+        F.expr(f"collect_list(struct({_CELL})) FILTER (WHERE level = {top}) AS top_cells"),
+    )
     return {r["level"]: r for r in found.collect()}
 
 
@@ -137,7 +142,7 @@ def nearest_index(
     steps = list(range(top, bottom + 1, STEP))
     pyramid = cut_lineage(_pyramid(placed, steps))
     leaves = placed.selectExpr("*", f"{bottom} AS leaf")
-    sizes = _level_sizes(pyramid)
+    sizes = _level_sizes(pyramid, top)
     while bottom < DEPTH and sizes[bottom]["largest"] > 4 * leaf_targets:
         crowded = pyramid.where(f"level = {bottom} AND n > {4 * leaf_targets}")
         below = [level for level in range(bottom + STEP, bottom + 3 * STEP + 1, STEP) if level <= DEPTH] or [DEPTH]
@@ -147,15 +152,14 @@ def nearest_index(
         )
         leaves = cut_lineage(marked.selectExpr(*placed.columns, f"if(_crowded, {below[-1]}, leaf) AS leaf"))
         deeper = cut_lineage(_pyramid(leaves.where(f"leaf = {below[-1]}"), below))
-        pyramid, sizes = pyramid.unionByName(deeper), sizes | _level_sizes(deeper)
+        pyramid, sizes = pyramid.unionByName(deeper), sizes | _level_sizes(deeper, top)
         steps, bottom = steps + below, below[-1]
 
-    # the start level has at most 64 cells, so it is a literal
-    root = pyramid.where(f"level = {top}").selectExpr(*_CELL.split(", ")).collect()
+    # few cells at the start level, so they go into the query as a literal
     start = ", ".join(
         f"struct({c.cx}L AS cx, {c.cy}L AS cy, {c.n}L AS n, {c.lat_lo!r}D AS lat_lo, {c.lat_hi!r}D AS lat_hi, "
         f"{c.lon_lo!r}D AS lon_lo, {c.lon_hi!r}D AS lon_hi)"
-        for c in root
+        for c in sizes[top]["top_cells"]
     )
     rows = {level: size["cells"] for level, size in sizes.items()}
     return NearestIndex(target_id, k, extent["n"], leaves, pyramid, steps, rows, f"array({start})")

@@ -390,7 +390,7 @@ def _delivery_pairs(spark, d) -> DataFrame:
 
 def _paths(ready: graph.Roads, pairs: DataFrame) -> DataFrame:
     found = cut_lineage(graph.distances(ready, pairs=pairs))
-    return graph.paths(found, graph.predecessors(found, ready), pairs)
+    return graph.paths(found, pairs)
 
 
 def _hops(spark, d, pairs: DataFrame) -> DataFrame:
