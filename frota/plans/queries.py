@@ -589,15 +589,13 @@ def stream_tracking(spark, d):
 
 @query
 def stream_dispatch(spark, d):
-    """Waiting orders arrive in two landings, by id; each trigger takes one."""
+    """The waiting orders arrive as files and are dispatched on versioned snapshots."""
     folder = work_path(spark, "dispatch")
     columns = ["id_pedido", "id_restaurante", "id_cliente", "status", "id_entregador"]
     waiting = reads.waiting_orders(table(spark, d, "pedidos")).select(*columns)
-    middle = waiting.agg(F.percentile_approx("id_pedido", 0.5)).first()[0]
-    for part in (waiting.where(F.col("id_pedido") <= middle), waiting.where(F.col("id_pedido") > middle)):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    waiting.write.parquet(f"{folder}/in")
     stream_dispatching.start_version(f"{folder}/state", table(spark, d, "entregadores"), waiting.where(F.lit(False)))
-    stream = spark.readStream.schema(waiting.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(waiting.schema).parquet(f"{folder}/in")
     views = ("restaurantes", "clientes", "grafo_nos", "grafo_arestas")
     run = stream_dispatching.run_dispatch(
         stream, f"{folder}/state", f"{folder}/checkpoint", *[table(spark, d, v) for v in views]

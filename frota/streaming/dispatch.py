@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from frota.operators.dispatch import couriers_after, dispatch
+from frota.operators.reads import waiting_orders
 
 _ASSIGNED = (
     "id_pedido bigint, id_restaurante bigint, id_cliente bigint, id_entregador bigint, road_dist double, motivo string"
@@ -39,7 +40,7 @@ def run_dispatch(
         now, after = f"{folder}/version={batch_id}", f"{folder}/version={batch_id + 1}"
         couriers = spark.read.parquet(f"{now}/couriers")
         waiting = spark.read.parquet(f"{now}/waiting")
-        orders = waiting.unionByName(batch.select(*waiting.columns))
+        orders = waiting_orders(waiting.unionByName(batch.select(*waiting.columns)))
         result = dispatch(orders, restaurants, customers, couriers, nodes, edges)
         result.write.mode("overwrite").parquet(f"{after}/result")
         result = spark.read.schema(_ASSIGNED).parquet(f"{after}/result")
