@@ -67,7 +67,8 @@ def road_edges_first(spark, d):
 @query
 def road_edges_rejected(spark, d):
     """Edges of a file whose last crossings are not in the node file."""
-    nodes = table(spark, d, "grafo_nos").join(table(spark, d, "malha"), F.expr("node_id < n - w"))
+    grid = table(spark, d, "malha").first()
+    nodes = table(spark, d, "grafo_nos").where(F.col("node_id") < grid.n - grid.w)
     edges = table(spark, d, "grafo_arestas").selectExpr(
         "edge_seq", "from_node", "to_node", "CASE WHEN edge_seq % 13 = 1 THEN -weight ELSE weight END AS weight"
     )

@@ -22,17 +22,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """SELECT s_suppkey AS node_id, s_suppkey AS node_pos,
  CAST(-23.60 AS DOUBLE) + CAST((s_suppkey - s_suppkey % w) AS DOUBLE) / w * 0.12e0 / w AS lat,
  CAST(-46.70 AS DOUBLE) + CAST(s_suppkey % w AS DOUBLE) * 0.12e0 / w AS lon
- FROM supplier CROSS JOIN malha""",
+ FROM (SELECT s_suppkey, (SELECT w FROM malha) AS w, (SELECT n FROM malha) AS n FROM supplier) s""",
     ),
     # the last crossing has no streets; some streets are one-way; some have a longer parallel lane listed first
     "grafo_arestas": (
         ["supplier", "malha"],
         """SELECT edge_seq, from_node, to_node, weight FROM (
- SELECT s_suppkey*10+1 AS edge_seq, s_suppkey AS from_node, s_suppkey+1 AS to_node, CAST(100 + (s_suppkey*37) % 50 AS DOUBLE) AS weight, n FROM supplier CROSS JOIN malha WHERE s_suppkey % w < w-1
- UNION ALL SELECT s_suppkey*10+0, s_suppkey, s_suppkey+1, CAST(105 + (s_suppkey*37) % 50 AS DOUBLE), n FROM supplier CROSS JOIN malha WHERE s_suppkey % w < w-1 AND s_suppkey % 10 = 0
- UNION ALL SELECT s_suppkey*10+2, s_suppkey+1, s_suppkey, CAST(100 + (s_suppkey*41) % 50 AS DOUBLE), n FROM supplier CROSS JOIN malha WHERE s_suppkey % w < w-1 AND s_suppkey % 7 <> 3
- UNION ALL SELECT s_suppkey*10+3, s_suppkey, s_suppkey+w, CAST(100 + (s_suppkey*43) % 50 AS DOUBLE), n FROM supplier CROSS JOIN malha
- UNION ALL SELECT s_suppkey*10+4, s_suppkey+w, s_suppkey, CAST(100 + (s_suppkey*47) % 50 AS DOUBLE), n FROM supplier CROSS JOIN malha
+ SELECT s_suppkey*10+1 AS edge_seq, s_suppkey AS from_node, s_suppkey+1 AS to_node, CAST(100 + (s_suppkey*37) % 50 AS DOUBLE) AS weight, n FROM (SELECT s_suppkey, (SELECT w FROM malha) AS w, (SELECT n FROM malha) AS n FROM supplier) s WHERE s_suppkey % w < w-1
+ UNION ALL SELECT s_suppkey*10+0, s_suppkey, s_suppkey+1, CAST(105 + (s_suppkey*37) % 50 AS DOUBLE), n FROM (SELECT s_suppkey, (SELECT w FROM malha) AS w, (SELECT n FROM malha) AS n FROM supplier) s WHERE s_suppkey % w < w-1 AND s_suppkey % 10 = 0
+ UNION ALL SELECT s_suppkey*10+2, s_suppkey+1, s_suppkey, CAST(100 + (s_suppkey*41) % 50 AS DOUBLE), n FROM (SELECT s_suppkey, (SELECT w FROM malha) AS w, (SELECT n FROM malha) AS n FROM supplier) s WHERE s_suppkey % w < w-1 AND s_suppkey % 7 <> 3
+ UNION ALL SELECT s_suppkey*10+3, s_suppkey, s_suppkey+w, CAST(100 + (s_suppkey*43) % 50 AS DOUBLE), n FROM (SELECT s_suppkey, (SELECT w FROM malha) AS w, (SELECT n FROM malha) AS n FROM supplier) s
+ UNION ALL SELECT s_suppkey*10+4, s_suppkey+w, s_suppkey, CAST(100 + (s_suppkey*47) % 50 AS DOUBLE), n FROM (SELECT s_suppkey, (SELECT w FROM malha) AS w, (SELECT n FROM malha) AS n FROM supplier) s
 ) e WHERE from_node < n - 1 AND to_node < n - 1""",
     ),
     "clientes": (
@@ -56,21 +56,25 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "pedidos": (
         ["orders", "supplier", "events"],
-        """SELECT o_orderkey + 1 AS id_pedido, o_custkey + 1 AS id_cliente, o_orderkey % n_rest + 1 AS id_restaurante,
- CASE WHEN st IN ('PICKED_UP','IN_TRANSIT','DELIVERED') THEN o_orderkey % n_ent + 1 END AS id_entregador, st AS status, o_orderdate AS criado_em
+        """SELECT o_orderkey + 1 AS id_pedido, o_custkey + 1 AS id_cliente, o_orderkey % (SELECT count(*) FROM supplier) + 1 AS id_restaurante,
+ CASE WHEN st IN ('PICKED_UP','IN_TRANSIT','DELIVERED') THEN o_orderkey % (SELECT count(DISTINCT user_id) FROM events) + 1 END AS id_entregador, st AS status, o_orderdate AS criado_em
  FROM (SELECT o_orderkey, o_custkey, o_orderdate, CASE o_orderstatus WHEN 'F' THEN 'DELIVERED' WHEN 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'PICKED_UP' ELSE 'IN_TRANSIT' END
- ELSE CASE o_orderkey % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'PREPARING' ELSE 'READY_FOR_PICKUP' END END AS st FROM orders) o
- CROSS JOIN (SELECT count(*) AS n_rest FROM supplier) r CROSS JOIN (SELECT count(DISTINCT user_id) AS n_ent FROM events) u""",
+ ELSE CASE o_orderkey % 3 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'PREPARING' ELSE 'READY_FOR_PICKUP' END END AS st FROM orders) o""",
     ),
     # fixed values: the life of an order
     "ciclo": (
         [],
         "SELECT * FROM (VALUES (0,'CONFIRMED'),(1,'PREPARING'),(2,'READY_FOR_PICKUP'),(3,'PICKED_UP'),(4,'IN_TRANSIT'),(5,'DELIVERED')) AS c(passo,status)",
     ),
+    # 21 rows: the steps behind an order of each status
+    "historia": (
+        ["ciclo"],
+        "SELECT a.status AS atual, c.passo, c.status FROM ciclo a JOIN ciclo c ON c.passo <= a.passo",
+    ),
     "eventos_pedido": (
-        ["pedidos", "ciclo"],
-        """SELECT p.id_pedido, p.criado_em + c.passo * INTERVAL '5' MINUTE AS ts, c.status, CASE WHEN c.passo >= 3 THEN p.id_entregador END AS id_entregador
- FROM pedidos p JOIN ciclo a ON a.status = p.status JOIN ciclo c ON c.passo <= a.passo""",
+        ["pedidos", "historia"],
+        """SELECT p.id_pedido, p.criado_em + h.passo * INTERVAL '5' MINUTE AS ts, h.status, CASE WHEN h.passo >= 3 THEN p.id_entregador END AS id_entregador
+ FROM pedidos p JOIN historia h ON h.atual = p.status""",
     ),
     "telemetria": (
         ["events"],
@@ -106,8 +110,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["orders", "supplier"],
         """SELECT o_orderkey AS seq, o_orderdate AS ts,
  CASE WHEN o_orderkey % 97 = 5 THEN o_custkey + 1000000001 ELSE o_custkey + 1 END AS id_cliente,
- o_orderkey % (n_rest + 2) + 1 AS id_restaurante, o_orderkey % 40 AS item, o_orderkey % 3 + 1 AS qtd
- FROM orders CROSS JOIN (SELECT count(*) AS n_rest FROM supplier) r""",
+ o_orderkey % ((SELECT count(*) FROM supplier) + 2) + 1 AS id_restaurante, o_orderkey % 40 AS item, o_orderkey % 3 + 1 AS qtd
+ FROM orders""",
     ),
 }
 
