@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import quality_rules
+from frota.llm import mixing, quality_rules
 from frota.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,11 @@ def op6_quality_rules(spark, d):
     return quality_rules.judged(stats, rules).select(
         "doc_id", *[f"stats.{name}" for name in quality_rules.BASE], "base_failed", "kept", "rule"
     )
+
+
+@query
+def op5_mixing(spark, d):
+    mix = mixing.mix(read_table(spark, d, "documents"))
+    return mix.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source"
+    )
