@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import mixing, quality_rules
+from frota.llm import mixing, packing, quality_rules
 from frota.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,10 @@ def op5_mixing(spark, d):
     return mix.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source"
     )
+
+
+@query
+def op10_packing(spark, d):
+    return packing.packed(read_table(spark, d, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
