@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import mixing, packing, quality_rules
-from frota.llm.common import read_table
+from frota.llm import mixing, packing, quality_rules, simhash
+from frota.llm.common import read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,11 @@ def op10_packing(spark, d):
     return packing.packed(read_table(spark, d, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op7_simhash(spark, d):
+    prints = stored(simhash.with_fingerprints(read_table(spark, d, "documents")), "prints")
+    return simhash.with_components(prints).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
