@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import mixing, packing, quality_rules, simhash
+from frota.llm import mixing, packing, quality_rules, simhash, suffix_dedup
 from frota.llm.common import read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op7_simhash(spark, d):
     return simhash.with_components(prints).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op2_suffix_dedup(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return suffix_dedup.deduplicated(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
