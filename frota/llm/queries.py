@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import mixing, packing, quality_rules, simhash, suffix_dedup
+from frota.llm import interpolation, mixing, packing, quality_rules, simhash, suffix_dedup
 from frota.llm.common import read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,9 @@ def op2_suffix_dedup(spark, d):
     return suffix_dedup.deduplicated(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op8_interpolation(spark, d):
+    docs = read_table(spark, d, "documents").withColumn("_learns", interpolation.crc_training())
+    return interpolation.scored(docs, "_learns")
