@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import interpolation, mixing, packing, quality_rules, simhash, suffix_dedup
-from frota.llm.common import read_table, stored
+from frota.llm import interpolation, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm.common import crc_part, read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,11 @@ def op2_suffix_dedup(spark, d):
 def op8_interpolation(spark, d):
     docs = read_table(spark, d, "documents").withColumn("_learns", interpolation.crc_training())
     return interpolation.scored(docs, "_learns")
+
+
+@query
+def op1_toxicity(spark, d):
+    docs = read_table(spark, d, "documents")
+    learns = read_table(spark, d, "labels").where(crc_part("doc_id", 5) != 0)
+    scores = toxicity.scored(docs, toxicity.learned(docs, learns))
+    return scores.withColumn("held_out", crc_part("doc_id", 5) == 0)
