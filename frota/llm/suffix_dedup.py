@@ -265,7 +265,7 @@ def _single_starts(threshold: int):
     def work(batches):
         for batch in batches:
             for part in text_slices(batch, "text", _SLICE):
-                docs, parts = part.column("doc").to_pylist(), part.column("open").to_pylist()
+                docs, parts = part.column("_doc").to_pylist(), part.column("open").to_pylist()
                 made = [
                     (first, second, np.full(len(start), doc), start)
                     for doc, text, at in zip(docs, byte_texts(part.column("text")), parts, strict=True)
@@ -294,10 +294,11 @@ def _repeated_pairs(batches):
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique number ``_doc`` in document order and the number of rows behind it, ``_rows``."""
+    """``docs`` with a unique number ``_doc`` in document order; if that is not the id itself, equal rows are one
+    and ``_rows`` counts them."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1")
     if odd.isEmpty():
-        return docs.withColumns({"_doc": F.col("doc_id"), "_rows": F.lit(1).cast("long")})
+        return docs.withColumn("_doc", F.col("doc_id"))
     each = docs.groupBy(*docs.columns).agg(F.count("*").alias("_rows"))
     each = each.withColumns({"_null": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
     others = [c for c in docs.columns if c != "doc_id"]
@@ -322,10 +323,10 @@ def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text") -> D
         "suffix-runs",
     )
     open_runs = stored(_sides(found.where("open").drop("open"), threshold), "suffix-open")
-    # both joins below use the one exchange of the texts
-    texts = docs.repartition(2 * shuffle_width(docs.sparkSession), "_doc")
+    # both joins below use the one exchange of the texts, so both must read all its columns
+    texts = docs.where("_doc IS NOT NULL").repartition(2 * shuffle_width(docs.sparkSession), "_doc")
     waiting = open_runs.groupBy(F.col("doc").alias("_d")).agg(F.collect_list("at").alias("open"))
-    starts = texts.join(waiting.hint("shuffle_hash"), F.col("_doc") == F.col("_d")).select(F.col("_doc").alias("doc"), "text", "open")
+    starts = texts.join(waiting.hint("shuffle_hash"), F.col("_doc") == F.col("_d"))
     again = _sorted_map(
         starts.mapInArrow(_single_starts(threshold), _START), "first", ["first", "second", "doc", "start"], _repeated_pairs, "doc bigint, at bigint"
     )
@@ -333,9 +334,9 @@ def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text") -> D
         found.where("NOT open").select("doc", "at").unionByName(again).groupBy(F.col("doc").alias("_d")).agg(F.collect_list("at").alias("_gone"))
     )
     joined = texts.join(gone.hint("shuffle_hash"), F.col("_doc") == F.col("_d"), "left").drop("_d")
-    carried = [c for c in docs.columns if c not in ("text", "_doc", "_rows")]
+    carried = [c for c in docs.columns if c not in ("text", "_doc")]
     schema = StructType(
-        [*(docs.schema[c] for c in carried), StructField("_rows", LongType())]
+        [docs.schema[c] for c in carried]
         + [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
         + [StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", BinaryType())]
     )
@@ -350,8 +351,10 @@ def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text") -> D
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.list_(pa.int64())), pa.binary()]
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in (*carried, "_rows")), *made], names=[*carried, *schema.names[len(carried) :]]
+                    [*(part.column(c) for c in carried), *made], names=schema.names
                 )
 
     result = joined.mapInArrow(finish, schema)
+    if "_rows" not in carried:
+        return result
     return result.withColumn("_rows", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_rows")
