@@ -14,6 +14,7 @@ A null text counts as empty: it is the single piece of its end token. Rows with
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import insort
 
@@ -26,7 +27,7 @@ from frota.llm.common import over_text, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 1_000_000
 _ODD, _LEAD = re.compile(r" \s| \Z"), re.compile(r" (?=\S)")
 
 
@@ -65,14 +66,15 @@ class TokenBytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if piece[-1:] in ".,;:!?":
-            body = piece[:-1]
-            if body[-1:].isalpha():
-                return self._lookup(body) + self._lookup(piece[-1])
         word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha() and max(word) < "\u0250":
-            letters = piece.encode().decode("latin-1").translate(self._letters)
-            return np.array([token.id for token in self._merge(letters)], "<u4").tobytes()
+        if word.isalpha() and (piece.isascii() or max(word) < "\u0250"):
+            ids = [token.id for token in self._merge(piece.encode().decode("latin-1").translate(self._letters))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if piece[-1:] in ".,;:!?" and piece[-2:-1].isalpha():
+            return self._lookup(piece[:-1]) + self._lookup(piece[-1])
+        head, line, tail = piece.partition("\n")
+        if line and head.strip() and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self._lookup(head) + self._lookup(line) + self._lookup(tail)
         return self._encode(piece) if piece else b""
 
     def _lookup(self, piece: str) -> bytes:
