@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import interpolation, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm import html_text, interpolation, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity
 from frota.llm.common import crc_part, read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op1_toxicity(spark, d):
     learns = read_table(spark, d, "labels").where(crc_part("doc_id", 5) != 0)
     scores = toxicity.scored(docs, toxicity.learned(docs, learns))
     return scores.withColumn("held_out", crc_part("doc_id", 5) == 0)
+
+
+@query
+def op3_html_text(spark, d):
+    return html_text.extracted(read_table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
