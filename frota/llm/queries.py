@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import html_text, interpolation, mixing, packing, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm import html_text, interpolation, mixing, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
 from frota.llm.common import crc_part, read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,41 @@ def op1_toxicity(spark, d):
 @query
 def op3_html_text(spark, d):
     return html_text.extracted(read_table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_preference(spark, d):
+    chosen, rejected = preference.shortened_pairs(read_table(spark, d, "conversations"))
+    return preference.formatted(chosen, rejected).withColumnRenamed("pair_id", "conv_id")
+
+
+ORACLES["op4_preference"] = """
+WITH ends AS (
+    SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), rows_ AS (
+    SELECT c.conv_id, c.turn, c.role, c.text, e.last_turn FROM conversations c LEFT JOIN ends e USING (conv_id)
+    WHERE e.last_turn IS NULL OR c.turn <= e.last_turn
+), chosen AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS copy
+    FROM rows_
+), halves AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role,
+           coalesce(CASE WHEN turn = last_turn AND role = 'assistant' THEN left(text, length(text) // 2) ELSE text END, '') AS text
+    FROM rows_
+), rejected AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS copy FROM halves
+), firsts AS (
+    SELECT conv_id, min((turn, copy)) AS at FROM chosen c FULL JOIN rejected r USING (conv_id, turn, copy)
+    WHERE c.text IS NULL OR r.text IS NULL OR (c.role, c.text) <> (r.role, r.text) GROUP BY conv_id
+), parts AS (
+    SELECT c.*, CASE WHEN f.at IS NULL OR (c.turn, c.copy) < f.at THEN 'prompt' ELSE 'chosen' END AS part
+    FROM chosen c LEFT JOIN firsts f USING (conv_id)
+    UNION ALL
+    SELECT r.*, 'rejected' FROM rejected r JOIN firsts f USING (conv_id) WHERE (r.turn, r.copy) >= f.at
+)
+SELECT conv_id, part, turn, CAST(copy AS INT) AS copy, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE 0 END AS BIGINT) AS learn_from,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END AS BIGINT) AS learn_to
+FROM parts
+"""
