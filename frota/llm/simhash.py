@@ -222,7 +222,8 @@ def near_groups(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def with_components(prints: DataFrame, threshold: int = 2) -> DataFrame:
-    """Adds ``component_id``, the smallest id reachable, to stored (doc_id, fingerprint, ...) rows."""
+    """Adds ``label``, shared by a connected group, and ``component_id``, its smallest id (null if it has none), to
+    stored (doc_id, fingerprint, ...) rows."""
     classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "print-classes")
     groups = near_groups(classes, threshold).withColumnRenamed("fingerprint", "_g")
     labelled = stored(
@@ -230,5 +231,23 @@ def with_components(prints: DataFrame, threshold: int = 2) -> DataFrame:
         "print-labels",
     )
     first = labelled.groupBy(F.col("label").alias("_l")).agg(F.min("first_id").alias("component_id"))
-    known = labelled.join(first, F.col("label") == F.col("_l")).select(F.col("fingerprint").alias("_f"), "component_id")
+    known = labelled.join(first, F.col("label") == F.col("_l")).select(F.col("fingerprint").alias("_f"), "label", "component_id")
     return prints.join(known, F.col("fingerprint") == F.col("_f")).drop("_f")
+
+
+def representatives(docs: DataFrame, threshold: int = 2, text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, columns unchanged: the one with the smallest id (nulls last, then by
+    the hash of its text); of rows equal in both, any one."""
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    prints = stored(with_fingerprints(keyed, text, ("doc_id", "_hash")), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))
+    first = with_components(prints, threshold).groupBy("label").agg(F.min(order).alias("m"))
+    chosen = first.select(F.col("m.id").alias("_i"), F.col("m.hash").alias("_h"))
+    same = lambda: F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    chosen = stored(
+        prints.join(chosen, same()).groupBy("_i", "_h").agg(F.count("*").alias("_n")), "print-chosen"
+    )
+    kept = keyed.join(chosen, same())
+    if not chosen.where("_n > 1").isEmpty():
+        kept = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_i", "_h"]))
+    return kept.select(*docs.columns)

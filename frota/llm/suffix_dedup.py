@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from frota.llm.common import as_long, byte_texts, mixed, stored, text_slices
 from frota.operators.numbering import dense_ids
@@ -309,9 +309,10 @@ def _sorted_map(df: DataFrame, key: str, order: list[str], work, schema: str) ->
     return df.repartition(2 * shuffle_width(df.sparkSession), key).sortWithinPartitions(*order).mapInArrow(work, schema)
 
 
-def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text", as_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``kept`` (the bytes left), ``spans`` (removed, begin and end), ``n_bytes``,
-    ``n_removed`` and ``n_spans`` in place of its text."""
+    ``n_removed`` and ``n_spans`` in place of its text. With ``as_text`` kept is a string; characters of which only
+    some bytes are left go."""
     if not 2 * SEED <= threshold <= 128 + SEED:
         raise ValueError("names are laid out for thresholds of 64 to 160 bytes")
     docs = _identified(docs.withColumnRenamed(text, "text"))
@@ -338,7 +339,7 @@ def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text") -> D
     schema = StructType(
         [docs.schema[c] for c in carried]
         + [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-        + [StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", BinaryType())]
+        + [StructField("spans", ArrayType(ArrayType(LongType()))), StructField("kept", StringType() if as_text else BinaryType())]
     )
 
     def finish(batches):
@@ -347,8 +348,10 @@ def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text") -> D
                 rows = []
                 for body, at in zip(byte_texts(part.column("text")), part.column("_gone").to_pylist(), strict=True):
                     spans = _spans(np.array(at or [], np.int64), threshold)
-                    rows.append((len(body), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.tolist(), cut(body, spans)))
-                kinds = [pa.int64()] * 3 + [pa.list_(pa.list_(pa.int64())), pa.binary()]
+                    left = cut(body, spans)
+                    left = left.decode("utf-8", "ignore") if as_text else left
+                    rows.append((len(body), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), spans.tolist(), left))
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.list_(pa.int64())), pa.string() if as_text else pa.binary()]
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in carried), *made], names=schema.names
