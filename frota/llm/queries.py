@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import html_text, interpolation, mixing, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm import html_text, interpolation, mixing, neighbours, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
 from frota.llm.common import crc_part, read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,8 @@ SELECT conv_id, part, turn, CAST(copy AS INT) AS copy, role, '<|' || role || '|>
        CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END AS BIGINT) AS learn_to
 FROM parts
 """
+
+
+@query
+def op9_neighbours(spark, d):
+    return neighbours.nearest(read_table(spark, d, "embeddings"), F.col("id") % 20 == 0)
