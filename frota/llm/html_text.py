@@ -52,10 +52,10 @@ _NAME = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "hidden", "digest")
+    __slots__ = ("tag", "marks", "children", "hidden", "digest", "worded")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.children, self.digest = tag, [], 0
+        self.tag, self.children, self.digest, self.worded = tag, [], 0, False
         names, self.hidden = [], False
         if attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
@@ -72,8 +72,10 @@ class Node:
         for child in self.children:
             if isinstance(child, str):
                 if words := child.split():
+                    self.worded = True
                     digest.update(" ".join(words).encode("utf-8", "surrogatepass") + b"\1")
             else:
+                self.worded = self.worded or child.worded
                 digest.update(child.digest.to_bytes(8, "little") + b"\2")
         self.digest = digest.intdigest()
 
@@ -176,7 +178,7 @@ def _roots(root: Node) -> list[Node]:
 
 
 def template_candidates(root: Node) -> tuple[set[int], set[int]]:
-    """Hashes of the subtrees of a page, and those among them that stand in what would be extracted."""
+    """Hashes of the subtrees with text of a page, and those among them that stand in what would be extracted."""
     roots = _roots(root)
     whole = roots == [root]
     every, inside, queue = set(), set(), [(root, whole)]
@@ -184,7 +186,7 @@ def template_candidates(root: Node) -> tuple[set[int], set[int]]:
     while queue:
         node, within = queue.pop()
         within = within or id(node) in starts
-        if node.tag not in ("html", "body", "article", "main") and (whole or not within or node.tag not in TEXT_BLOCKS):
+        if node.worded and node.tag not in ("html", "body", "article", "main") and (whole or not within or node.tag not in TEXT_BLOCKS):
             every.add(node.digest)
             if within and not _declared(node, within and not whole):
                 inside.add(node.digest)
