@@ -4,13 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# couriers' speed in the simulation and the tick length.
-DEFAULT_SPEED_KMH = 2000.0
-TICK_SECONDS = 0.1
-ITEMS_SCHEMA = "array<struct<item:bigint,qtd:bigint>>"
-ROUTE_SCHEMA = (
-    "array<struct<`from`:struct<lat:double,lon:double>,`to`:struct<lat:double,lon:double>,weight:double>>"
-)
+#: Items are free-form objects: every key is kept, values as text (nested ones as JSON).
+ITEMS_SCHEMA = "array<map<string,string>>"
 
 
 def to_iso(ts: Column) -> Column:
@@ -45,10 +40,6 @@ def items_from_json(text: Column) -> Column:
     return F.from_json(text, ITEMS_SCHEMA)
 
 
-def random_event_id() -> Column:
-    return F.substring(F.regexp_replace(F.uuid(), "-", ""), 1, 8)
-
-
 def derived_event_id(*key: Column) -> Column:
     """Eight hex digits that a retried task produces again, unlike a random id."""
     return F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key])), 1, 8)
@@ -70,12 +61,6 @@ def route_as(route: Column, number_type: str) -> Column:
     )
 
 
-def ticks_for(metres: Column, speed_kmh: float = DEFAULT_SPEED_KMH) -> Column:
-    """Whole ticks a courier needs for an edge, at least one."""
-    factor = 18 / (speed_kmh * TICK_SECONDS)
-    return F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(factor / 10) * metres + F.lit(0.5)).cast("bigint"))
-
-
 def rounded(value: Column, digits: int = 4) -> Column:
     """Half-even rounding for display; results keep raw values."""
     return F.bround(value, digits)

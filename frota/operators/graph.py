@@ -22,6 +22,7 @@ from frota.session import broadcast_limit, cut_lineage, shuffle_width
 
 _EDGE_BYTES = 48
 _BLOCK_CELLS = 2_000_000
+_PATH = "source bigint, target bigint, pos int, node bigint"
 _FOUND = "source bigint, node bigint, d double, step int, prev bigint"
 
 
@@ -34,6 +35,19 @@ def relax_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def tagged_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``edges`` with ``motivo``, the reason why no search may use one (null: it may)."""
+    weightless = F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0)
+    reason = F.when(weightless, "PESO")
+    if nodes is not None:
+        ids = nodes.select("node_id", F.lit(True).alias("_known")).distinct()
+        edges = edges.join(ids.withColumnsRenamed({"node_id": "from_node", "_known": "_from"}), "from_node", "left").join(
+            ids.withColumnsRenamed({"node_id": "to_node", "_known": "_to"}), "to_node", "left"
+        )
+        reason = reason.when(F.col("_from").isNull() | F.col("_to").isNull(), "NO_DESCONHECIDO")
+    return edges.withColumn("motivo", reason).drop("_from", "_to")
+
+
 def first_edges(edges: DataFrame) -> DataFrame:
     """Weight of the first listed edge per (from, to): what a formatted route shows."""
     return edges.groupBy("from_node", "to_node").agg(F.min_by("weight", "edge_seq").alias("weight"))
@@ -42,68 +56,117 @@ def first_edges(edges: DataFrame) -> DataFrame:
 @dataclass
 class Roads:
     """An edge table made ready for searches: ``light`` holds the smallest weight per pair of nodes,
-    ``shared`` the same as broadcast arrays if it was counted and found small."""
+    ``shared`` the same as broadcast arrays if it was counted and found small, ``rejected`` the edges
+    that no search may use, with the reason."""
 
     edges: DataFrame
     light: DataFrame
     shared: Broadcast | None
+    rejected: DataFrame
 
 
-def roads(edges: DataFrame) -> Roads:
-    edges = cut_lineage(edges.select("edge_seq", "from_node", "to_node", "weight"))
+def roads(edges: DataFrame, nodes: DataFrame | None = None, share: bool = True) -> Roads:
+    """Edges with a negative, NaN or missing weight are rejected: a search over them would not end or
+    would hide good edges. With ``nodes`` (node_id) so are edges with an unknown end. ``share=False``
+    searches by joins whatever the size."""
+    tagged = tagged_edges(edges, nodes)
+    columns = ["edge_seq", "from_node", "to_node", "weight"]
+    edges = cut_lineage(tagged.where("motivo IS NULL").select(*columns))
+    rejected = tagged.where("motivo IS NOT NULL").select(*columns, "motivo")
     light = cut_lineage(relax_edges(edges))
     spark = edges.sparkSession
-    if light.count() * _EDGE_BYTES > broadcast_limit(spark):
-        return Roads(edges, light, None)
+    if not share or light.count() * _EDGE_BYTES > broadcast_limit(spark):
+        return Roads(edges, light, None, rejected)
     graph = light.toPandas().sort_values(["to_node", "from_node"])
     nodes = np.unique(graph[["from_node", "to_node"]].to_numpy())
     tail = np.searchsorted(nodes, graph["from_node"].to_numpy())
     head = np.searchsorted(nodes, graph["to_node"].to_numpy())
-    return Roads(edges, light, spark.sparkContext.broadcast((nodes, tail, head, graph["weight"].to_numpy())))
+    return Roads(edges, light, spark.sparkContext.broadcast((nodes, tail, head, graph["weight"].to_numpy())), rejected)
 
 
 def distances(graph: Roads, pairs: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """(source, node, d, step, prev): distance of every node found from each source.
+    """(source, node, d, step, prev): distances from each source.
 
-    ``sources`` (source) asks for everything reachable. ``pairs`` (source, target) asks for these
-    targets only: a source stops spreading beyond its farthest target once all are reached, so
-    distances beyond that are not to be used. ``step`` is the round in which ``d`` was found,
-    ``prev`` the last node before ``node`` on the path (see ``predecessors``).
+    ``sources`` (source) asks for everything reachable. ``pairs`` (source, target) asks for these targets
+    and only they are returned; a source stops spreading beyond its farthest target once all are reached.
+    ``step`` is the round in which ``d`` was found, ``prev`` the last node before ``node`` on the path
+    (see ``predecessors``).
     """
-    if pairs is not None:
-        # at most one entry per node of the graph
-        wanted = pairs.groupBy("source").agg(F.collect_set("target").alias("targets"))
-    else:
-        wanted = sources.selectExpr("source", "CAST(NULL AS ARRAY<BIGINT>) AS targets").distinct()
     if graph.shared is not None:
-        return _search_blocks(graph.shared, wanted)
-    found = _search_rounds(graph.light, wanted)
-    return found.join(predecessors(found, graph.light), ["source", "node"], "left")
+        return _search_blocks(graph.shared, _by_source(pairs, sources), "ends")
+    found = _search_rounds(graph.light, pairs, sources)
+    found = found.join(predecessors(found, graph.light), ["source", "node"], "left")
+    if pairs is None:
+        return found
+    return found.join(pairs.selectExpr("source", "target AS node").distinct(), ["source", "node"], "left_semi")
+
 
+def _by_source(pairs: DataFrame | None, sources: DataFrame | None) -> DataFrame:
+    if pairs is None:
+        return sources.selectExpr("source", "CAST(NULL AS ARRAY<BIGINT>) AS targets").distinct()
+    # only for a broadcast graph: at most one entry per node of it, and foreign targets
+    return pairs.groupBy("source").agg(F.collect_set("target").alias("targets"))
 
-def _search_blocks(shared: Broadcast, wanted: DataFrame) -> DataFrame:
-    """Every task searches blocks of its sources against the broadcast edges."""
+
+def _search_blocks(shared: Broadcast, wanted: DataFrame, answer: str) -> DataFrame:
+    """Every task searches blocks of its sources against the broadcast edges. ``answer`` "ends": the asked
+    nodes (all, if none are asked for); "paths": the nodes of each asked path, walked back in the task."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes, tail, head, weight = shared.value
         size = max(1, _BLOCK_CELLS // max(len(weight), 1))
         for batch in batches:
             on_graph = np.isin(batch["source"].to_numpy(), nodes)
-            alone = batch["source"].to_numpy()[~on_graph]
-            yield _rows(alone, alone, 0.0, 0, np.full(len(alone), -1))
+            off = batch[~on_graph]
+            alone = off["source"].to_numpy()[[t is None or s in t for s, t in zip(off["source"], off["targets"], strict=True)]]
+            if answer == "paths":
+                yield pd.DataFrame({"source": alone, "target": alone, "pos": np.zeros(len(alone), np.int32), "node": alone})
+            else:
+                yield _rows(alone, alone, 0.0, 0, np.full(len(alone), -1))
             batch = batch[on_graph]
             for start in range(0, len(batch), size):
                 block = batch.iloc[start : start + size]
                 source = block["source"].to_numpy()
                 dist, step = relax_block(source, list(block["targets"]), nodes, tail, head, weight)
                 before = last_nodes(dist, step, tail, head, weight)
-                row, col = np.nonzero(np.isfinite(dist))
+                if answer == "paths":
+                    yield from _walk_back(source, list(block["targets"]), nodes, dist, before)
+                    continue
+                asked = np.isfinite(dist)
+                for i, goals in enumerate(block["targets"]):
+                    if goals is not None:
+                        asked[i] &= np.isin(nodes, goals)
+                row, col = np.nonzero(asked)
                 prev = before[row, col]
                 prev = np.where(prev < 0, -1, nodes[prev])
                 yield _rows(source[row], nodes[col], dist[row, col], step[row, col], prev)
 
     spread = wanted.repartition(shuffle_width(wanted.sparkSession), "source")
-    return spread.mapInPandas(search, _FOUND)
+    return spread.mapInPandas(search, _FOUND if answer == "ends" else _PATH)
+
+
+def _walk_back(source, targets, nodes, dist, before) -> Iterator[pd.DataFrame]:
+    """Path rows of every reached target, one hop of all paths at a time."""
+    goals = [np.flatnonzero(np.isin(nodes, t)) for t in targets]
+    row = np.repeat(np.arange(len(goals)), [len(g) for g in goals])
+    goal = np.concatenate([np.zeros(0, np.int64), *goals])
+    reached = np.isfinite(dist[row, goal])
+    row, goal = row[reached], goal[reached]
+    at, back, parts = goal.copy(), 0, []
+    alive = np.arange(len(row))
+    while len(alive):
+        parts.append((alive, at[alive], np.full(len(alive), back)))
+        up = before[row[alive], at[alive]]
+        alive, up = alive[up >= 0], up[up >= 0]
+        at[alive], back = up, back + 1
+    if not parts:
+        return
+    path, node, back_ = (np.concatenate(c) for c in zip(*parts, strict=True))
+    length = np.zeros(len(row), np.int64)
+    np.maximum.at(length, path, back_)
+    yield pd.DataFrame(
+        {"source": source[row[path]], "target": nodes[goal[path]], "pos": (length[path] - back_).astype(np.int32), "node": nodes[node]}
+    )
 
 
 def _rows(source, node, d, step, prev) -> pd.DataFrame:
@@ -164,13 +227,17 @@ def last_nodes(dist, step, tail, head, weight):
     return prev
 
 
-def _search_rounds(light: DataFrame, wanted: DataFrame) -> DataFrame:
+def _search_rounds(light: DataFrame, pairs: DataFrame | None, sources: DataFrame | None) -> DataFrame:
     """Search with edges too many to broadcast: only fresh rows are shuffled to the edges."""
     never = "CAST('Infinity' AS DOUBLE)"
-    goals = wanted.selectExpr("source", "explode(targets) AS node")
+    if pairs is None:
+        sources = sources.select("source").distinct()
+        goals = sources.selectExpr("source", "source AS node").where("false")
+    else:
+        sources, goals = pairs.select("source").distinct(), pairs.selectExpr("source", "target AS node").distinct()
     # a row per asked target exists from the start, at infinite distance
     state = cut_lineage(
-        wanted.selectExpr("source", "source AS node", "0.0D AS d", "false AS goal")
+        sources.selectExpr("source", "source AS node", "0.0D AS d", "false AS goal")
         .unionByName(goals.selectExpr("source", "node", f"{never} AS d", "true AS goal"))
         .groupBy("source", "node")
         .agg(F.expr("min(d) AS d"), F.expr("bool_or(goal) AS goal"))
@@ -224,13 +291,18 @@ def predecessors(found: DataFrame, light: DataFrame) -> DataFrame:
     )
 
 
-def paths(found: DataFrame, pairs: DataFrame) -> DataFrame:
+def paths(graph: Roads, pairs: DataFrame) -> DataFrame:
     """(source, target, pos, node): the nodes of each asked path, pos 0 at the source.
 
-    Unreachable pairs have no rows; source = target has one. Ancestors are found by doubling, so a
-    path of n nodes costs log2(n) joins, not n.
+    Unreachable pairs have no rows; source = target has one. Over a broadcast graph the search itself walks
+    back from the targets. Otherwise ancestors are found by doubling, so a path of n nodes costs log2(n)
+    joins, not n.
     """
     wanted = pairs.select("source", "target").distinct()
+    if graph.shared is not None:
+        return _search_blocks(graph.shared, _by_source(wanted, None), "paths")
+    found = _search_rounds(graph.light, wanted, None)
+    found = cut_lineage(found.join(predecessors(found, graph.light), ["source", "node"], "left"))
     asked = cut_lineage(
         wanted.join(found.selectExpr("source", "node AS target", "step"), ["source", "target"])
     )

@@ -32,24 +32,28 @@ def exact_ranks(
     the part that holds the place goes on. Both cut values leave the interval, so it always shrinks.
     A bracket is sorted once at most ``sort_limit`` values are left. Every step is a partially
     aggregated groupBy: a group with a third of the rows is no hot task.
+
+    Nulls do not count. A null end of an interval is open without limit, so infinities are inside it; NaN
+    sorts last, and places beyond the numbers are NaN.
     """
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    base = values.where(~F.isnan("_v"))
     groups = [*keys, "_q"]
     places = F.array(
-        *[F.struct(F.lit(q).alias("_q"), place(F.col("_inside")).cast("bigint").alias("_k")) for q, place in ranks.items()]
+        *[F.struct(F.lit(q).alias("_q"), place(F.col("_all")).cast("bigint").alias("_k")) for q, place in ranks.items()]
     )
     brackets = cut_lineage(
-        base.groupBy(*keys)
-        .agg(F.count("*").alias("_inside"))
+        values.groupBy(*keys)
+        .agg(F.count("*").alias("_all"), F.count_if(~F.isnan("_v")).alias("_inside"))
         .select(*keys, F.explode(places).alias("_p"), "_inside")
         .select(
             *keys,
             "_p.*",
             "_inside",
-            F.lit(float("-inf")).alias("_lo"),
-            F.lit(float("inf")).alias("_hi"),
-            F.lit(None).cast("double").alias("_found"),
+            F.lit(None).cast("double").alias("_lo"),
+            F.lit(None).cast("double").alias("_hi"),
         )
+        .withColumn("_found", F.when(F.col("_k") >= F.col("_inside"), F.lit(float("nan"))))
     )
 
     def inside(part: DataFrame) -> DataFrame:
@@ -58,7 +62,8 @@ def exact_ranks(
         if part.count() * _ROW_BYTES <= broadcast_limit(df.sparkSession):
             part = F.broadcast(part)
         same = [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
-        within = (F.col("b._v") > F.col("p._lo")) & (F.col("b._v") < F.col("p._hi"))
+        above = F.col("p._lo").isNull() | (F.col("b._v") > F.col("p._lo"))
+        within = above & (F.col("p._hi").isNull() | (F.col("b._v") < F.col("p._hi")))
         return base.alias("b").join(part.alias("p"), [*same, within]).select("b._v", "p.*")
 
     while True:
@@ -149,7 +154,7 @@ def latency_report(requests: DataFrame, status: str | None = None, sort_limit: i
         },
         sort_limit,
     )
-    measured = simple.join(ranks, keys).withColumn("median", (F.col("_low") + F.col("_high")) / 2)
+    measured = simple.join(ranks, keys, "left").withColumn("median", (F.col("_low") + F.col("_high")) / 2)
     return (
         report_grid(requests.sparkSession)
         .join(measured, keys, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frota.plans.queries import AS_OF, SPEED_KMH
+from frota.plans.queries import AS_OF
 from frota.plans.views import with_views
 
 
@@ -130,18 +130,6 @@ _put(
     ["atualizacoes", "ciclo"],
     "SELECT seq, id_pedido, novo_status FROM atualizacoes WHERE novo_status NOT IN (SELECT status FROM ciclo)",
 )
-_FACTOR = {s: 18 / (s * 0.1) / 10 for s in (2000.0, SPEED_KMH)}
-
-
-def _ticks(speed: float) -> str:
-    return f"greatest(1, CAST(floor({_FACTOR[speed]!r}::DOUBLE * weight + 0.5) AS BIGINT))"
-
-
-_put(
-    "edge_ticks",
-    ["grafo_arestas"],
-    f"SELECT edge_seq, {_ticks(2000.0)} AS ticks, {_ticks(SPEED_KMH)} AS ticks_devagar FROM grafo_arestas",
-)
 
 # ---- filters, sorted reads
 
@@ -271,7 +259,8 @@ LEFT JOIN m ON m.ritmo_idx = f.ritmo_idx AND m.method = t.method"""
 
 
 _put("latency_report", ["requisicoes"], *_report("", "mean"))
-_put("latency_report_display", ["requisicoes"], *_report("WHERE status = '200'", "all"))
+_put("latency_report_display", ["requisicoes"], *_report("", "all"))
+ORACLES["latency_report_narrowed"] = ORACLES["latency_report"]
 _put("total_requests", ["requisicoes"], "SELECT count(*) AS total FROM requisicoes")
 
 # ---- graph
@@ -290,16 +279,16 @@ def _dist(name: str, starts: str) -> str:
 _SR = _snap("sr", "restaurantes", "id_restaurante")
 _SC = _snap("sc", "clientes", "id_cliente")
 _SE = _snap("se", "entregadores", "id_entregador")
+_PAIRS = f"""pares AS (SELECT DISTINCT sr.node AS source, sc.node AS target FROM pedidos p JOIN sr ON sr.id_restaurante = p.id_restaurante
+ JOIN sc ON sc.id_cliente = p.id_cliente WHERE {_WAITING})"""
+_GRAPH = ["pedidos", "restaurantes", "clientes", "grafo_nos", "grafo_arestas"]
 _put(
     "shortest_distances",
-    ["restaurantes", "grafo_nos", "grafo_arestas"],
-    "SELECT source, node, d FROM dist",
-    ",\n".join([_MIN, _SR, _dist("dist", "SELECT node AS s FROM sr")]),
+    _GRAPH,
+    "SELECT d.source, d.node, d.d FROM dist d JOIN pares p ON p.source = d.source AND p.target = d.node",
+    ",\n".join([_MIN, _SR, _SC, _PAIRS, _dist("dist", "SELECT source AS s FROM pares")]),
     recursive=True,
 )
-_PAIRS = f"""pares AS (SELECT DISTINCT sr.node AS source, sc.node AS target FROM pedidos p JOIN sr ON sr.id_restaurante = p.id_restaurante
- JOIN sc ON sc.id_cliente = p.id_cliente WHERE {_WAITING})"""
-_GRAPH = ["pedidos", "restaurantes", "clientes", "grafo_nos", "grafo_arestas"]
 _put(
     "unreachable_pairs",
     _GRAPH,
@@ -332,26 +321,7 @@ _put(
     ",\n".join([_MIN, _SR, _SC, _PAIRS, _FROM_PAIRS, _PATHS, _HOPS]),
     recursive=True,
 )
-_MOVING = """pernas AS (SELECT p.id_pedido, se.node AS origem, sr.node AS restaurante, sc.node AS cliente, a.ts AS inicio, r.ts AS pronto FROM pedidos p
- JOIN se ON se.id_entregador = p.id_entregador JOIN sr ON sr.id_restaurante = p.id_restaurante JOIN sc ON sc.id_cliente = p.id_cliente
- JOIN alocacoes a ON a.id_pedido = p.id_pedido AND a.status = 'ATIVO' LEFT JOIN eventos_pedido r ON r.id_pedido = p.id_pedido AND r.status = 'READY_FOR_PICKUP'
- WHERE p.status IN ('PICKED_UP','IN_TRANSIT')),
-pares AS (SELECT origem AS source, restaurante AS target FROM pernas UNION SELECT restaurante, cliente FROM pernas)"""
-_TIMED = f"""tempos AS (SELECT *, {_ticks(SPEED_KMH)} AS ticks FROM trechos),
-passos AS (SELECT *, coalesce(sum(ticks) OVER (PARTITION BY source, target ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS antes FROM tempos),
-totais AS (SELECT source, target, sum(ticks) AS total FROM tempos GROUP BY source, target),
-partidas AS (SELECT id_pedido, 1 AS perna, origem AS source, restaurante AS target, inicio FROM pernas
- UNION ALL SELECT id_pedido, 2, restaurante, cliente, greatest(inicio + to_milliseconds(CAST(coalesce(total, 0) * 100 AS BIGINT)), pronto) FROM pernas
- LEFT JOIN totais ON source = origem AND target = restaurante WHERE pronto IS NOT NULL)"""
-_put(
-    "route_positions",
-    [*_GRAPH, "entregadores", "alocacoes", "eventos_pedido"],
-    """SELECT id_pedido, perna, CAST(antes + i AS BIGINT) AS tick, inicio + to_milliseconds(CAST((antes + i) * 100 AS BIGINT)) AS ts,
- round(from_lat + i * ((to_lat - from_lat) / ticks), 6) AS latitude, round(from_lon + i * ((to_lon - from_lon) / ticks), 6) AS longitude
-FROM (SELECT s.id_pedido, s.perna, s.inicio, t.*, unnest(range(1, t.ticks + 1)) AS i FROM partidas s JOIN passos t ON t.source = s.source AND t.target = s.target) x""",
-    ",\n".join([_MIN, _SE, _SR, _SC, _MOVING, _FROM_PAIRS, _PATHS, _HOPS, _TIMED]),
-    recursive=True,
-)
+ORACLES["road_paths_shuffled"] = ORACLES["paths"]
 
 # ---- state machine
 

@@ -22,7 +22,6 @@ from frota.streaming.tracking import live_tracking
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 AS_OF = "2024-01-15 00:00:00"
-SPEED_KMH = 400.0
 
 
 def query(fn: Query) -> Query:
@@ -72,7 +71,11 @@ def road_edges_rejected(spark, d):
     edges = table(spark, d, "grafo_arestas").selectExpr(
         "edge_seq", "from_node", "to_node", "CASE WHEN edge_seq % 13 = 1 THEN -weight ELSE weight END AS weight"
     )
-    return road_graph.checked_edges(nodes, edges)[1]
+    return graph.roads(edges, nodes).rejected
+
+
+def _roads(spark: SparkSession, d: str, share: bool = True) -> graph.Roads:
+    return graph.roads(table(spark, d, "grafo_arestas"), table(spark, d, "grafo_nos"), share)
 
 
 def _page(view: str, key: str, columns: list[str]) -> None:
@@ -184,7 +187,7 @@ def order_items_json(spark, d):
     requests = table(spark, d, "novos_pedidos")
     text = requests.select("seq", scalars.items_to_json(F.expr("array(struct(item, qtd))")).alias("lista_itens"))
     parsed = text.select("*", scalars.items_from_json(F.col("lista_itens")).alias("i"))
-    return parsed.selectExpr("seq", "lista_itens", "i[0].item AS item", "i[0].qtd AS qtd")
+    return parsed.selectExpr("seq", "lista_itens", "CAST(i[0]['item'] AS BIGINT) AS item", "CAST(i[0]['qtd'] AS BIGINT) AS qtd")
 
 
 @query
@@ -212,15 +215,6 @@ def status_domain_rejects(spark, d):
     return table(spark, d, "atualizacoes").where(~in_domain(F.col("novo_status"))).select("seq", "id_pedido", "novo_status")
 
 
-@query
-def edge_ticks(spark, d):
-    return table(spark, d, "grafo_arestas").select(
-        "edge_seq",
-        scalars.ticks_for(F.col("weight")).alias("ticks"),
-        scalars.ticks_for(F.col("weight"), SPEED_KMH).alias("ticks_devagar"),
-    )
-
-
 # ---- filters, sorted reads
 
 
@@ -340,9 +334,16 @@ def latency_report(spark, d):
     return report.latency_report(table(spark, d, "requisicoes")).withColumn("mean", F.round("mean", 6))
 
 
+@query
+def latency_report_narrowed(spark, d):
+    """The same report with brackets narrowed until 32 values are left: no group is small enough to be sorted."""
+    narrowed = report.latency_report(table(spark, d, "requisicoes"), sort_limit=32)
+    return narrowed.withColumn("mean", F.round("mean", 6))
+
+
 @query
 def latency_report_display(spark, d):
-    return report.display(report.latency_report(table(spark, d, "requisicoes"), status="200"))
+    return report.display(report.latency_report(table(spark, d, "requisicoes")))
 
 
 @query
@@ -353,7 +354,7 @@ def total_requests(spark, d):
 @query
 def best_courier_by_road(spark, d):
     """Every waiting order on its own: the best of the three nearest available couriers."""
-    index, graph_ready = _nodes(spark, d), graph.roads(table(spark, d, "grafo_arestas"))
+    index, graph_ready = _nodes(spark, d), _roads(spark, d)
     rest = _placed(table(spark, d, "restaurantes"), index, "id_restaurante")
     free = _placed(reads.available_couriers(table(spark, d, "entregadores")), index, "id_entregador")
     lists = dp.courier_lists(rest, free, graph_ready, dp.CANDIDATES)
@@ -390,72 +391,44 @@ def _delivery_pairs(spark, d) -> DataFrame:
 
 
 def _paths(ready: graph.Roads, pairs: DataFrame) -> DataFrame:
-    found = cut_lineage(graph.distances(ready, pairs=pairs))
-    return graph.paths(found, pairs)
+    return graph.paths(ready, pairs)
 
 
 def _hops(spark, d, pairs: DataFrame) -> DataFrame:
-    ready = graph.roads(table(spark, d, "grafo_arestas"))
+    ready = _roads(spark, d)
     return cut_lineage(routes.route_hops(_paths(ready, pairs), table(spark, d, "grafo_nos"), ready.edges))
 
 
 @query
 def shortest_distances(spark, d):
-    sources = _crossing(spark, d, _nodes(spark, d), "restaurantes", "source").select("source").distinct()
-    found = graph.distances(graph.roads(table(spark, d, "grafo_arestas")), sources=sources)
+    """Road distance of every delivery leg that is asked for."""
+    found = graph.distances(_roads(spark, d), pairs=_delivery_pairs(spark, d))
     return found.select("source", "node", "d")
 
 
 @query
 def unreachable_pairs(spark, d):
     pairs = _delivery_pairs(spark, d)
-    return graph.unreachable(pairs, graph.distances(graph.roads(table(spark, d, "grafo_arestas")), pairs=pairs))
+    return graph.unreachable(pairs, graph.distances(_roads(spark, d), pairs=pairs))
 
 
 @query
 def paths(spark, d):
-    return _paths(graph.roads(table(spark, d, "grafo_arestas")), _delivery_pairs(spark, d))
-
-
-_HOP = ["hop", "from_node", "to_node", _r("from_lat"), _r("from_lon"), _r("to_lat"), _r("to_lon"), "weight"]
+    return _paths(_roads(spark, d), _delivery_pairs(spark, d))
 
 
 @query
-def delivery_routes(spark, d):
-    return _hops(spark, d, _delivery_pairs(spark, d)).selectExpr("source", "target", *_HOP)
+def road_paths_shuffled(spark, d):
+    """The same paths with the edges joined instead of broadcast."""
+    return _paths(_roads(spark, d, share=False), _delivery_pairs(spark, d))
 
 
-def _moving_orders(spark, d) -> DataFrame:
-    """Orders on the way: crossings of courier, restaurant and customer, and when the courier set off."""
-    index = _nodes(spark, d)
-    on_way = table(spark, d, "pedidos").where("status IN ('PICKED_UP', 'IN_TRANSIT')")
-    # positions of all couriers that have one, busy or not
-    courier = _crossing(spark, d, index, "entregadores", "origem")
-    rest = _crossing(spark, d, index, "restaurantes", "restaurante")
-    cust = _crossing(spark, d, index, "clientes", "cliente")
-    sets_off = table(spark, d, "alocacoes").where("status = 'ATIVO'").selectExpr("id_pedido", "ts AS inicio")
-    return cut_lineage(
-        on_way.join(courier, "id_entregador")
-        .join(rest, "id_restaurante")
-        .join(cust, "id_cliente")
-        .join(sets_off, "id_pedido")
-        .select("id_pedido", "origem", "restaurante", "cliente", "inicio")
-    )
+_HOP = ["hop", "from_node", "to_node", _r("from_lat"), _r("from_lon"), _r("to_lat"), _r("to_lon"), "weight"]
 
 
 @query
-def route_positions(spark, d):
-    legs = _moving_orders(spark, d)
-    pairs = cut_lineage(
-        legs.selectExpr("inline(array(struct(origem AS source, restaurante AS target), "
-            "struct(restaurante AS source, cliente AS target)))").distinct()
-    )
-    timed = cut_lineage(routes.leg_ticks(_hops(spark, d, pairs), SPEED_KMH))
-    ready = table(spark, d, "eventos_pedido").where("status = 'READY_FOR_PICKUP'").selectExpr("id_pedido", "ts AS pronto_em")
-    starts = routes.leg_starts(legs, timed, ready)
-    return routes.positions(starts, timed).selectExpr(
-        "id_pedido", "perna", "tick", "ts", _r("latitude"), _r("longitude")
-    )
+def delivery_routes(spark, d):
+    return _hops(spark, d, _delivery_pairs(spark, d)).selectExpr("source", "target", *_HOP)
 
 
 # ---- state machine and dispatch

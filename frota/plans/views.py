@@ -85,9 +85,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "requisicoes": (
         ["events"],
         """SELECT CASE WHEN day(ts) <= 20 THEN 0 WHEN day(ts) <= 26 THEN 1 ELSE 2 END AS ritmo_idx,
- CASE WHEN event_type IN ('click','view') THEN 'GET' WHEN event_type = 'error' THEN 'PATCH' ELSE 'POST' END AS method,
+ CASE WHEN event_type IN ('click','view') THEN 'GET' WHEN event_type = 'error' AND day(ts) <= 26 THEN 'PATCH' ELSE 'POST' END AS method,
  CASE WHEN event_type = 'error' THEN 'error' ELSE '200' END AS status, value AS latency
- FROM events WHERE NOT (event_type = 'error' AND day(ts) > 26)""",
+ FROM events""",
     ),
     "alocacoes": (
         ["pedidos"],

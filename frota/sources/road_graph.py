@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from frota.operators.graph import tagged_edges
 from frota.operators.numbering import dense_ids
 from frota.sources import schemas
 
@@ -76,18 +77,9 @@ def write_graph(nodes: DataFrame, edges: DataFrame, nodes_path: str, edges_path:
 
 def checked_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable, rejected with a reason): unknown end points, negative, NaN or missing weights."""
-    ids = nodes.select("node_id", F.lit(True).alias("_known")).distinct()
-    tagged = (
-        edges.join(ids.withColumnsRenamed({"node_id": "from_node", "_known": "_from"}), "from_node", "left")
-        .join(ids.withColumnsRenamed({"node_id": "to_node", "_known": "_to"}), "to_node", "left")
-        .withColumn(
-            "motivo",
-            F.when(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0), "PESO")
-            .when(F.col("_from").isNull() | F.col("_to").isNull(), "NO_DESCONHECIDO"),
-        )
-    )
+    tagged = tagged_edges(edges, nodes)
     columns = ["edge_seq", "from_node", "to_node", "weight"]
     return (
-        tagged.where(F.col("motivo").isNull()).select(*columns),
-        tagged.where(F.col("motivo").isNotNull()).select(*columns, "motivo"),
+        tagged.where("motivo IS NULL").select(*columns),
+        tagged.where("motivo IS NOT NULL").select(*columns, "motivo"),
     )

@@ -42,7 +42,7 @@ def test_distances_predecessors_and_paths_match_search(spark, limit):
         pairs = spark.createDataFrame([(s, t) for s in range(4) for t in range(9)], "source bigint, target bigint")
         sources = pairs.select("source").distinct()
         found = cut_lineage(graph.distances(ready, sources=sources))
-        walked = graph.paths(found, pairs).collect()
+        walked = graph.paths(ready, pairs).collect()
     finally:
         spark.conf.unset("spark.frota.broadcastLimitBytes")
     want = {s: search(edges, s) for s in range(4)}
@@ -86,7 +86,7 @@ def test_zero_weight_edges_never_close_a_circle(spark):
     ready = graph.roads(spark.createDataFrame(edges, EDGE))
     pairs = spark.createDataFrame([(1, 5)], "source bigint, target bigint")
     found = cut_lineage(graph.distances(ready, pairs=pairs))
-    path = graph.paths(found, pairs).orderBy("pos").collect()
+    path = graph.paths(ready, pairs).orderBy("pos").collect()
     assert [r.node for r in path] == [1, 2, 3, 4, 5]
 
 
@@ -96,26 +96,30 @@ def test_route_shows_first_listed_edge_distance_uses_smallest(spark):
     ready = graph.roads(edges)
     pairs = spark.createDataFrame([(1, 3), (2, 2)], "source bigint, target bigint")
     found = cut_lineage(graph.distances(ready, pairs=pairs))
-    hops = routes.route_hops(graph.paths(found, pairs), nodes, edges)
+    hops = routes.route_hops(graph.paths(ready, pairs), nodes, edges)
     assert found.where("source = 1 AND node = 3").first().d == 5.0
     [route] = routes.as_routes(hops).collect()
     assert [h["weight"] for h in route.rota] == [9.0, 1.0]
     assert route.rota[0]["from"]["lat"] == 1.0 and route.rota[1]["to"]["lon"] == -3.0
 
 
-def test_positions_follow_ticks_and_the_kitchen(spark):
-    hop = "source bigint, target bigint, hop int, from_node bigint, to_node bigint, from_lat double, from_lon double, to_lat double, to_lon double, weight double"
-    # 0.009 ticks per metre: 400 m are 4 ticks, 1 m still takes one
-    hops = spark.createDataFrame([(1, 2, 0, 1, 9, 0.0, 0.0, 4.0, 8.0, 400.0), (1, 2, 1, 9, 2, 4.0, 8.0, 5.0, 8.0, 1.0), (2, 3, 0, 2, 3, 5.0, 8.0, 6.0, 8.0, 1.0)], hop)
-    legs = spark.sql("""SELECT * FROM VALUES
-        (7L, 1L, 2L, 3L, timestamp_ntz'2024-01-01 00:00:00'), (8L, 2L, 2L, 3L, timestamp_ntz'2024-01-01 00:00:00'), (9L, 1L, 2L, 3L, timestamp_ntz'2024-01-01 00:00:00')
-        AS t(id_pedido, origem, restaurante, cliente, inicio)""")
-    ready = spark.sql("SELECT * FROM VALUES (7L, timestamp_ntz'2024-01-01 00:00:10'), (8L, timestamp_ntz'2023-01-01 00:00:00') AS t(id_pedido, pronto_em)")
-    timed = routes.leg_ticks(hops)
-    rows = routes.positions(routes.leg_starts(legs, timed, ready), timed).orderBy("id_pedido", "perna", "tick").collect()
-    first = [(r.tick, r.latitude, r.longitude, r.ts.microsecond) for r in rows if r.id_pedido == 7 and r.perna == 1]
-    assert first == [(1, 1.0, 2.0, 100000), (2, 2.0, 4.0, 200000), (3, 3.0, 6.0, 300000), (4, 4.0, 8.0, 400000), (5, 5.0, 8.0, 500000)]
-    assert [r.ts.second for r in rows if r.id_pedido == 7 and r.perna == 2] == [10]
-    # an empty first leg takes no time, an order that is never ready has no second leg
-    assert [(r.perna, r.ts.microsecond) for r in rows if r.id_pedido == 8] == [(2, 100000)]
-    assert {r.perna for r in rows if r.id_pedido == 9} == {1}
+def test_bad_weights_neither_hang_nor_hide_good_edges(spark):
+    """A negative circle would never end; the least of a NaN and a number would be NaN."""
+    nan = float("nan")
+    edges = spark.createDataFrame([(0, 1, 2, 1.0), (1, 2, 1, -3.0), (2, 1, 3, nan), (3, 1, 3, 2.0), (4, 3, 4, None), (5, 3, 77, 1.0)], EDGE)
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "node_id bigint")
+    for share in (True, False):
+        ready = graph.roads(edges, nodes, share)
+        found = graph.distances(ready, sources=spark.createDataFrame([(1,)], "source bigint"))
+        assert {r.node: r.d for r in found.collect()} == {1: 0.0, 2: 1.0, 3: 2.0}
+        assert {(r.edge_seq, r.motivo) for r in ready.rejected.collect()} == {
+            (1, "PESO"), (2, "PESO"), (4, "PESO"), (5, "NO_DESCONHECIDO")
+        }
+
+
+def test_search_returns_only_what_was_asked(spark):
+    edges = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(30)], EDGE)
+    pairs = spark.createDataFrame([(0, 20), (5, 5), (3, 1)], "source bigint, target bigint")
+    for share in (True, False):
+        found = graph.distances(graph.roads(edges, share=share), pairs=pairs)
+        assert {(r.source, r.node, r.d) for r in found.collect()} == {(0, 20, 20.0), (5, 5, 0.0)}

@@ -43,3 +43,15 @@ def test_status_filter_and_display(spark):
     rows = [("200", 0, "GET", 0.123456), ("error", 0, "GET", 5.0)]
     shown = display(latency_report(spark.createDataFrame(rows, LOG), status="200")).where("n > 0").collect()
     assert [(r.n, r.max) for r in shown] == [(1, 0.1235)]
+
+
+@pytest.mark.parametrize("sort_limit", [200_000, 2])
+def test_infinite_nan_and_missing_latencies(spark, sort_limit):
+    inf, nan = float("inf"), float("nan")
+    cells = {(0, "GET"): [1.0, 2.0, inf], (0, "POST"): [-inf, 1.0, 2.0, inf], (1, "GET"): [1.0, 2.0, 3.0, nan], (1, "POST"): [None, None]}
+    rows = [("200", i, m, v) for (i, m), values in cells.items() for v in values]
+    got = {(r.ritmo_idx, r.method): r for r in latency_report(spark.createDataFrame(rows, LOG), sort_limit=sort_limit).collect()}
+    assert got[0, "GET"].p95 == inf and got[0, "GET"].median == 2.0
+    assert got[0, "POST"].p95 == inf and got[0, "POST"].median == 1.5 and got[0, "POST"].min == -inf
+    assert got[1, "GET"].p95 != got[1, "GET"].p95 and got[1, "GET"].median == 2.5 and got[1, "GET"].n == 4
+    assert (got[1, "POST"].n, got[1, "POST"].p95) == (2, None)

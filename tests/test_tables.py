@@ -59,8 +59,6 @@ def test_scalars(spark):
     texts = [r[0] for r in iso.select(scalars.to_iso(F.col("ts"))).collect()]
     assert texts == ["2024-01-01T10:00:00", "2024-01-01T10:00:00.500000"] and texts == sorted(texts)
     assert iso.where(scalars.from_iso(scalars.to_iso(F.col("ts"))) == F.col("ts")).count() == 2
-    weights = spark.createDataFrame([(1.0,), (166.6,), (166.7,)], "w double")
-    assert [r[0] for r in weights.select(scalars.ticks_for(F.col("w"))).collect()] == [1, 1, 2]
     assert len(spark.range(1).select(scalars.random_event_id()).first()[0]) == 8
     steps = spark.createDataFrame([(s,) for s in ["CONFIRMED", "DELIVERED", "??"]], "s string")
     assert [r[0] for r in steps.select(status.next_status(F.col("s"))).collect()] == ["PREPARING", None, None]
@@ -82,3 +80,9 @@ def test_reads_and_tracking(spark):
     assert before[1] == "CONFIRMED"
     missing = reads.order_history(events, spark.createDataFrame([(404,)], "id_pedido bigint"))
     assert missing.count() == 0
+
+
+def test_items_keep_every_key(spark):
+    text = spark.createDataFrame([('[{"nome":"pizza","qtd":2,"preco":9.5}]',), ("[]",), (None,)], "t string")
+    got = [r[0] for r in text.select(scalars.items_from_json(F.col("t"))).collect()]
+    assert got == [[{"nome": "pizza", "qtd": "2", "preco": "9.5"}], [], None]
