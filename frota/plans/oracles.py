@@ -359,9 +359,11 @@ LEFT JOIN (SELECT id_pedido, arg_max(novo_status, seq) AS novo_status, max_by(co
 _put(
     "stream_tracking",
     [*_STATE, "eventos_pedido", "telemetria"],
-    """SELECT e.id_pedido, e.status, e.id_entregador, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, t.ts AS ultima_atualizacao
-FROM (SELECT id_pedido, novo_status AS status, courier_evento AS id_entregador, row_number() OVER (PARTITION BY id_pedido ORDER BY seq DESC) AS k FROM julgado WHERE resultado = 'OK') e
-LEFT JOIN ult_pos t ON t.id_entregador = e.id_entregador WHERE k = 1""",
+    """SELECT h.id_pedido, CASE WHEN e.id_pedido IS NULL THEN h.status ELSE e.status END AS status,
+ CASE WHEN e.id_pedido IS NULL THEN h.id_entregador ELSE e.id_entregador END AS id_entregador, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, t.ts AS ultima_atualizacao
+FROM ult_ev h LEFT JOIN (SELECT id_pedido, novo_status AS status, courier_evento AS id_entregador, row_number() OVER (PARTITION BY id_pedido ORDER BY seq DESC) AS k FROM julgado WHERE resultado = 'OK') e
+ ON e.id_pedido = h.id_pedido AND e.k = 1
+LEFT JOIN ult_pos t ON t.id_entregador = CASE WHEN e.id_pedido IS NULL THEN h.id_entregador ELSE e.id_entregador END""",
     _JUDGED + ",\n" + _tracked("")[1],
     recursive=True,
 )
@@ -399,6 +401,7 @@ despacho AS (SELECT w.id_pedido, w.id_restaurante, w.id_cliente, s.id_entregador
  CASE WHEN s.id_entregador IS NOT NULL THEN NULL WHEN s.vez IS NULL THEN 'NO_COURIER' ELSE 'NO_PATH' END AS motivo FROM espera w LEFT JOIN serie s ON s.vez = w.vez)"""
 _ASSIGNED = "SELECT id_pedido, id_entregador, road_dist, motivo FROM despacho"
 _put("dispatch", _DISPATCH, _ASSIGNED, ",\n".join([*_LIVRES, _SERIAL]), recursive=True)
+ORACLES["dispatch_zoned"] = ORACLES["dispatch"]
 _put("stream_dispatch", _DISPATCH, _ASSIGNED, ",\n".join([*_LIVRES, _SERIAL]), recursive=True)
 _LEGS = """pernas AS (SELECT x.id_pedido, x.id_entregador, 1 AS perna, se.node AS source, sr.node AS target FROM despacho x JOIN se ON se.id_entregador = x.id_entregador
  JOIN sr ON sr.id_restaurante = x.id_restaurante

@@ -468,6 +468,14 @@ def dispatch(spark, d):
     return _dispatch(spark, d).select("id_pedido", "id_entregador", "road_dist", "motivo")
 
 
+@query
+def dispatch_zoned(spark, d):
+    """The same dispatch cut into zones of 16 orders and slices of 64, so that many zones settle together."""
+    views = ("pedidos", "restaurantes", "clientes", "entregadores", "grafo_nos", "grafo_arestas")
+    given = dp.dispatch(*[table(spark, d, v) for v in views], zone_orders=16, slice_orders=64)
+    return given.select("id_pedido", "id_entregador", "road_dist", "motivo")
+
+
 @query
 def dispatch_routes(spark, d):
     """Both legs of every assigned order; an unreachable customer has an empty second leg."""
@@ -558,7 +566,7 @@ def stream_positions(spark, d):
 
 @query
 def stream_tracking(spark, d):
-    return _tracked(live_tracking(_outcomes(spark, d), _live_positions(spark, d)))
+    return _tracked(live_tracking(_outcomes(spark, d), _live_positions(spark, d), table(spark, d, "eventos_pedido")))
 
 
 @query

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from frota.operators.tracking import join_positions
+from frota.operators.tracking import join_positions, latest_events
 from frota.operators.latest import latest_per_key
 from frota.streaming.positions import compact
 
 
-def live_tracking(landed_outcomes: DataFrame, landed_positions: DataFrame) -> DataFrame:
-    """Orders with accepted updates, with the courier's last position.
+def live_tracking(landed_outcomes: DataFrame, landed_positions: DataFrame, history: DataFrame) -> DataFrame:
+    """Every order that has an event, with the courier's last position.
 
-    Accepted updates of an order follow its ``seq``, and so does its newest event.
+    Accepted updates follow the ``history`` (the event log when the stream began), in the order of ``seq``.
     """
+    before = latest_events(history).select("id_pedido", "status", "id_entregador")
     newest = latest_per_key(
         landed_outcomes.where("resultado = 'OK'").select("id_pedido", "seq", "novo_status", "courier_evento"),
         ["id_pedido"],
         ["seq"],
     ).selectExpr("id_pedido", "novo_status AS status", "courier_evento AS id_entregador")
+    newest = newest.unionByName(before.join(newest.select("id_pedido"), "id_pedido", "left_anti"))
     return join_positions(newest, compact(landed_positions))
 
 
