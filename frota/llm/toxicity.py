@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained separately: one on windows of ordinary text, one on what is characteristic of
 toxic text. Every window of a text is compressed against the ordinary dictionary and against the ordinary one with the
 toxic one added; the bytes saved are the window's distance. Windows are ``WINDOW_WORDS`` words, too short for zstandard to
-compress on their own (it would store them as they are), so each is led by a carrier, a byte string that both
-dictionaries end with and that therefore costs the same in both. A document is scored by a calibrated logistic
+compress on their own (it would store them as they are, and never looks for matches in the last bytes), so each
+stands between two pieces of a carrier, a byte string that both dictionaries end with and that therefore costs the
+same in both. A document is scored by a calibrated logistic
 function of how far and how often its windows' distances exceed fixed thresholds.
 
 Dictionaries and calibration are fitted on a bounded sample of labelled rows (``sample_toxic``, ``sample_ordinary``
@@ -71,7 +72,7 @@ class Distances:
             for window in windows(text):
                 d = known.get(window)
                 if d is None:
-                    led = _CARRIER + window
+                    led = _CARRIER + window + _CARRIER[:32]
                     d = known[window] = len(plain(led)) - len(both(led))
                 out.append(d)
             return np.array(out, np.int64)
@@ -132,7 +133,8 @@ def fit(toxic: list[bytes], ordinary: list[bytes], ridge: float = 0.5) -> Model:
         rows += [features(distances(t)) for t in texts]
         labels += [label] * len(texts)
     x, y = np.array(rows or [features(np.zeros(0))]), np.array(labels or [0.0])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 1e-6, scale, 1.0)
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
     weights = np.zeros(z.shape[1])
     for _ in range(50):
