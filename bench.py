@@ -26,6 +26,11 @@ HEADLINE = [
     "release_couriers",
     "new_orders",
     "stream_positions",
+    "dispatch_routes",
+    "delivery_routes",
+    "stream_status",
+    "stream_tracking",
+    "stream_dispatch",
 ]
 
 
