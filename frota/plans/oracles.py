@@ -77,6 +77,14 @@ _put(
     f"""SELECT m + row_number() OVER (ORDER BY id_cliente) AS id_entregador, 'AVAILABLE' AS status, {_r('latitude', 9)}, {_r('longitude', 9)}
 FROM clientes CROSS JOIN (SELECT max(id_entregador) AS m FROM entregadores) x""",
 )
+_INSERTED = "SELECT (SELECT max({0}) FROM {1}) + row_number() OVER (ORDER BY {2}) AS {0}, nome, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude FROM {3}"
+_put("insert_customers", ["clientes", "restaurantes"], _INSERTED.format("id_cliente", "clientes", "id_restaurante", "restaurantes"))
+_put("insert_restaurants", ["clientes", "restaurantes"], _INSERTED.format("id_restaurante", "restaurantes", "id_cliente", "clientes"))
+_put(
+    "inserted_counts",
+    ["clientes", "restaurantes"],
+    "SELECT 'clientes' AS tabela, count(*) AS n FROM restaurantes UNION ALL SELECT 'restaurantes', count(*) FROM clientes",
+)
 _put(
     "put_latest_allocation",
     ["alocacoes"],
@@ -416,6 +424,25 @@ _put(
     recursive=True,
 )
 
+_ROUTED = ",\n".join([*_LIVRES, _SERIAL, _LEGS, _dist("dist2", "SELECT source AS s FROM pares"), _PATHS.replace("dist ", "dist2 "), _HOPS])
+_put(
+    "current_allocation_routes",
+    _DISPATCH,
+    f"SELECT id_pedido, id_entregador, perna, hop, {_r('from_lat')}, {_r('from_lon')}, {_r('to_lat')}, {_r('to_lon')}, weight "
+    "FROM pernas p JOIN trechos t ON t.source = p.source AND t.target = p.target",
+    _ROUTED,
+    recursive=True,
+)
+_put(
+    "dispatch_allocations",
+    _DISPATCH,
+    """SELECT p.id_pedido, max(p.id_entregador) AS id_entregador, 'ATIVO' AS status, CAST(count(t.hop) FILTER (WHERE perna = 1) AS INT) AS n_restaurante,
+ CAST(count(t.hop) FILTER (WHERE perna = 2) AS INT) AS n_cliente, bool_or(perna = 2 AND t.hop IS NULL AND p.source <> p.target) AS cliente_sem_rota
+FROM pernas p LEFT JOIN trechos t ON t.source = p.source AND t.target = p.target WHERE p.id_entregador IS NOT NULL GROUP BY p.id_pedido""",
+    _ROUTED,
+    recursive=True,
+)
+
 # ---- release and new orders
 
 _put(

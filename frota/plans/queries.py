@@ -21,6 +21,7 @@ from frota.streaming.tracking import live_tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+ALLOCATED_AT = "2100-01-01 00:00:00"
 AS_OF = "2024-01-15 00:00:00"
 
 
@@ -114,6 +115,29 @@ def insert_couriers(spark, d):
     )
 
 
+def _inserted(spark, d, name: str, source: str) -> DataFrame:
+    rows = table(spark, d, source).select(schemas.KEYS[source], "nome", "latitude", "longitude")
+    return tables.insert_rows(table(spark, d, name), rows, name, [schemas.KEYS[source]])
+
+
+@query
+def insert_customers(spark, d):
+    return _inserted(spark, d, "clientes", "restaurantes").selectExpr("id_cliente", "nome", _r("latitude", 9), _r("longitude", 9))
+
+
+@query
+def insert_restaurants(spark, d):
+    return _inserted(spark, d, "restaurantes", "clientes").selectExpr("id_restaurante", "nome", _r("latitude", 9), _r("longitude", 9))
+
+
+@query
+def inserted_counts(spark, d):
+    """How many rows each insert stores."""
+    made = {"clientes": "restaurantes", "restaurantes": "clientes"}
+    counts = [_inserted(spark, d, n, s).agg(F.lit(n).alias("tabela"), F.count("*").alias("n")) for n, s in made.items()]
+    return counts[0].unionByName(counts[1])
+
+
 @query
 def put_latest_allocation(spark, d):
     return tables.put_by_key(table(spark, d, "alocacoes"), "id_entregador", "ts", "id_pedido")
@@ -495,6 +519,54 @@ def dispatch_routes(spark, d):
     return legs.join(hops, ["source", "target"]).selectExpr("id_pedido", "id_entregador", "perna", *_HOP)
 
 
+def _allocations(spark, d) -> DataFrame:
+    """What dispatch writes to the allocation log: both routes as decimals, and whether the customer has none."""
+    index = _nodes(spark, d)
+    given = cut_lineage(_dispatch(spark, d).where("id_entregador IS NOT NULL"))
+    courier = _crossing(spark, d, index, "entregadores", "origem")
+    rest = _crossing(spark, d, index, "restaurantes", "restaurante")
+    cust = _crossing(spark, d, index, "clientes", "cliente")
+    ends = cut_lineage(
+        given.join(courier, "id_entregador")
+        .join(rest, "id_restaurante")
+        .join(cust, "id_cliente")
+        .select("id_pedido", "origem", "restaurante", "cliente")
+    )
+    pairs = ends.selectExpr(
+        "inline(array(struct(origem AS source, restaurante AS target), struct(restaurante AS source, cliente AS target)))"
+    ).distinct()
+    found = routes.as_routes(_hops(spark, d, pairs)).select(
+        "source", "target", scalars.route_as(F.col("rota"), "decimal(20,10)").alias("rota")
+    )
+    return dp.allocation_rows(given, ALLOCATED_AT, dp.both_routes(ends, found))
+
+
+@query
+def dispatch_allocations(spark, d):
+    return _allocations(spark, d).selectExpr(
+        "id_pedido", "id_entregador", "status", "CAST(size(rota_restaurante) AS INT) AS n_restaurante",
+        "CAST(size(rota_cliente) AS INT) AS n_cliente", "cliente_sem_rota",
+    )
+
+
+@query
+def current_allocation_routes(spark, d):
+    """The allocations written, stored and read back as what each courier is doing now, hop by hop."""
+    folder = work_path(spark, "allocations")
+    log = table(spark, d, "alocacoes").unionByName(_allocations(spark, d), allowMissingColumns=True)
+    log.write.parquet(folder)
+    now = reads.current_allocation(spark.read.parquet(folder)).where("rota_restaurante IS NOT NULL")
+    both = now.select(
+        "id_pedido", "id_entregador",
+        scalars.route_as(F.col("rota_restaurante"), "double").alias("a"), scalars.route_as(F.col("rota_cliente"), "double").alias("b"),
+    )
+    legs = both.selectExpr("id_pedido", "id_entregador", "inline(array(struct(1 AS perna, a AS rota), struct(2 AS perna, b AS rota)))")
+    return legs.selectExpr("id_pedido", "id_entregador", "perna", "posexplode(rota) AS (hop, h)").selectExpr(
+        "id_pedido", "id_entregador", "perna", "hop", "round(h.`from`.lat, 6) AS from_lat", "round(h.`from`.lon, 6) AS from_lon",
+        "round(h.`to`.lat, 6) AS to_lat", "round(h.`to`.lon, 6) AS to_lon", "h.weight AS weight",
+    )
+
+
 def _release(spark, d):
     asked = table(spark, d, "alocacoes").where("status = 'INATIVA'").select("id_entregador", "id_pedido", "ts")
     return order_ops.release(asked, *[table(spark, d, v) for v in ("entregadores", "pedidos", "clientes", "alocacoes")])
