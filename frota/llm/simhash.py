@@ -174,6 +174,9 @@ def near_links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     if threshold > 2:
         raise ValueError("anchors are laid out for thresholds up to 2 bits")
 
+    # a print becomes dozens of visits: spread by count, not by the few bytes they have here
+    prints = prints.repartition(2 * shuffle_width(prints.sparkSession), "fingerprint")
+
     def spread(within: int):
         def run(batches):
             for batch in batches:
