@@ -48,14 +48,15 @@ _SCOPES = frozenset("ul ol dl table body article main section div nav aside head
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[^a-z0-9]+")
+_INERT = DROPPED - frozenset("nav footer aside form dialog menu".split())
+_COMMENTS = frozenset("comment comments commentlist".split())
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "hidden", "digest", "worded")
+    __slots__ = ("tag", "marks", "children", "hidden", "digest", "worded", "words")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.children, self.digest, self.worded = tag, [], 0, False
+        self.tag, self.children, self.digest, self.worded, self.words = tag, [], 0, False, 0
         names, self.hidden = [], False
         if attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
@@ -73,9 +74,11 @@ class Node:
             if isinstance(child, str):
                 if words := child.split():
                     self.worded = True
+                    self.words += 0 if self.tag in _INERT else len(words)
                     digest.update(" ".join(words).encode("utf-8", "surrogatepass") + b"\1")
             else:
                 self.worded = self.worded or child.worded
+                self.words += 0 if self.tag in _INERT else child.words
                 digest.update(child.digest.to_bytes(8, "little") + b"\2")
         self.digest = digest.intdigest()
 
@@ -148,35 +151,60 @@ def parse(text: str) -> Node:
 
 
 def _declared(node: Node, in_article: bool) -> bool:
-    """Whether the markup says that this is no article."""
+    """Whether the markup says that this is no article; classes, ids and roles count as whole words."""
     if node.tag in DROPPED or node.hidden:
         return True
     if node.tag == "header":
         return not in_article
-    if node.tag in ("article", "main", "body", "html") and not any("comment" in m for m in node.marks):
+    if node.tag in ("body", "html"):
         return False
-    for mark in node.marks:
-        parts = _NAME.split(mark)
-        if not MARKS.isdisjoint(parts) or (not in_article and "header" in parts):
-            return True
+    if node.tag in ("article", "main"):
+        return not _COMMENTS.isdisjoint(node.marks)
+    return not MARKS.isdisjoint(node.marks) or (not in_article and "header" in node.marks)
+
+
+def _has_own_text(main: Node) -> bool:
+    """Whether there is text in ``main`` outside its articles and outside what is declared."""
+    queue = [main]
+    while queue:
+        for child in queue.pop().children:
+            if isinstance(child, str):
+                if child.strip():
+                    return True
+            elif child.worded and child.tag != "article" and not _declared(child, True):
+                queue.append(child)
     return False
 
 
 def _roots(root: Node) -> list[Node]:
-    """The outermost article elements, or main, or the whole page."""
-    for wanted in ("article", "main"):
+    """The outermost articles, and mains with text outside their articles; without either the whole page.
+
+    Wrappers that look declared are searched where nothing stands outside of them, forms always.
+    """
+    for through in (False, True):
         found, queue = [], [root]
         while queue:
             node = queue.pop()
-            if node.tag == wanted and not _declared(node, False):
+            hidden = _declared(node, False)
+            if node.worded and not hidden and (node.tag == "article" or node.tag == "main" and _has_own_text(node)):
                 found.append(node)
-            elif not _declared(node, False):
+            elif not hidden or node.tag == "form" or (through and node.tag not in _INERT):
                 queue += [c for c in reversed(node.children) if isinstance(c, Node)]
         if found:
             return found
     return [root]
 
 
+def _wrappers(root: Node) -> set[int]:
+    """Forms around most of the words of a page that is read as a whole: they wrap it and are no part of it."""
+    found, node = set(), root
+    while node is not None:
+        if node.tag == "form":
+            found.add(id(node))
+        node = next((c for c in node.children if isinstance(c, Node) and 2 * c.words > root.words), None)
+    return found
+
+
 def template_candidates(root: Node) -> tuple[set[int], set[int]]:
     """Hashes of the subtrees with text of a page, and those among them that stand in what would be extracted."""
     roots = _roots(root)
@@ -206,6 +234,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
 
     roots = _roots(root)
     whole = roots == [root]
+    wrappers = _wrappers(root) if whole else set()
     for start in roots:
         stack: list = [start]
         while stack:
@@ -215,7 +244,7 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
             elif isinstance(item, str):
                 now.append(item)
             elif item is not start and (
-                _declared(item, not whole) or (item.digest in template and (whole or item.tag not in TEXT_BLOCKS))
+                (_declared(item, not whole) and id(item) not in wrappers) or (item.digest in template and (whole or item.tag not in TEXT_BLOCKS))
             ):
                 if item.tag in BLOCKS:
                     flush()

@@ -416,6 +416,20 @@ def test_main_text():
     assert html_text.main_text(html_text.parse("<div>" * 3000 + "deep" + "</b></div>")) == "deep"
 
 
+def test_articles_inside_wrappers_are_kept():
+    read = lambda body: html_text.main_text(html_text.parse(body))
+    for mark in ("class='has-sidebar'", "class='no-sidebar'", "class='with-comments'", "id='page-search'", "class='sidebar'"):
+        assert read(f"<body><nav>Menu</nav><div {mark}><article><p>Story</p></article></div></body>") == "Story"
+        assert read(f"<body><div {mark}><main><p>Story</p></main></div></body>") == "Story"
+    assert read("<body class='no-comments'><article><p>Story</p></article></body>") == "Story"
+    assert read("<body><article class='comments-open'><p>Story</p></article></body>") == "Story"
+    assert read("<body><form><article><p>Story</p></article></form></body>") == "Story"
+    assert read("<body><form id=f><div><p>Story of a page</p></div><form><div class='menu'>Menu</div></form></body>") == "Story of a page"
+    assert read("<main><p>Story</p><article>Card 1</article><article>Card 2</article></main>") == "Story\n\nCard 1\n\nCard 2"
+    assert read("<main><article>Story</article></main><aside><article>Card</article></aside>") == "Story"
+    assert read("<article>Story</article><ol class='comments'><li><article>Nice</article></ol>") == "Story"
+
+
 def test_recurring_subtrees_are_deleted(spark):
     body = "<html><body><div><span>Our shop</span><div>Always the same</div></div><div>Unique number {0} here</div></body></html>"
     rows = [(i, f"https://User@Host.example:80/p/{i}", body.format(i)) for i in range(30)]
