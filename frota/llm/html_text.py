@@ -2,7 +2,7 @@
 
 Pages are parsed into element trees. Every element subtree is hashed over its tag, class, text and children; Spark
 counts on how many pages of a host each hash occurs, and subtrees that recur on many pages of their host are
-deleted. What the markup itself declares to be no article (menus, headers, footers, sidebars, notices, adverts, forms,
+deleted. "Many" is a fixed number (``min_pages``) at every host size. What the markup itself declares to be no article (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) is deleted on every page, so that hosts with few pages are cleaned too.
 
 The words of the article are safe: paragraphs, headings and list items inside ``article`` or ``main`` never count as
@@ -265,7 +265,7 @@ def host(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def template_hashes(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+def template_hashes(pages: DataFrame, min_pages: int) -> DataFrame:
     """(key, hashes): for pages (by content key) the hashes of their template subtrees inside the article, stored."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -284,10 +284,7 @@ def template_hashes(pages: DataFrame, min_pages: int, min_share: float) -> DataF
     wanted = recurring.where("inside")
     if wanted.isEmpty():
         return pages.sparkSession.createDataFrame([], "key bigint, hashes array<bigint>")
-    sizes = pages.groupBy(F.col("host").alias("_h")).agg(F.count_distinct("key").alias("pages"))
-    template = (
-        wanted.join(sizes, F.col("host") == F.col("_h")).where(F.col("n") >= F.col("pages") * min_share).select(F.col("host").alias("_h"), F.col("hash").alias("_x"))
-    )
+    template = wanted.select(F.col("host").alias("_h"), F.col("hash").alias("_x"))
     found = (
         subtrees.where("inside")
         .join(template, (F.col("host") == F.col("_h")) & (F.col("hash") == F.col("_x")))
@@ -297,11 +294,11 @@ def template_hashes(pages: DataFrame, min_pages: int, min_share: float) -> DataF
     return stored(found, "html-template")
 
 
-def extracted(pages: DataFrame, min_pages: int = 10, min_share: float = 0.2) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", host().alias("host"))
     pages = pages.withColumn("key", F.xxhash64("host", F.coalesce("html", F.lit(""))))
-    template = template_hashes(pages, min_pages, min_share).withColumnRenamed("key", "_k")
+    template = template_hashes(pages, min_pages).withColumnRenamed("key", "_k")
     # a small template table is broadcast below Spark's own threshold; then no page is moved
     pages = pages.join(template, F.col("key") == F.col("_k"), "left").select("page_id", "url", "html", "hashes")
 

@@ -445,6 +445,15 @@ def test_recurring_subtrees_are_deleted(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+def test_template_of_a_section_at_every_host_size(spark):
+    section = "<body><div class='box'><div>Section text</div></div><div>Story {0} of this page</div></body>"
+    plain = "<body><div>Story {0} of this page</div></body>"
+    rows = [(i, f"https://{h}/{i}", (section if i < 15 else plain).format(i)) for h, n in (("a.example", 20), ("b.example", 300)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = html_text.extracted(pages).collect()
+    assert len(got) == 320 and all(r.text == f"Story {r.page_id} of this page" for r in got)
+
+
 # ---- preference formatting
 
 
