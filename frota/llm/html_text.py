@@ -2,11 +2,22 @@
 
 Pages are parsed into element trees. Every element subtree is hashed over its tag, class, text and children; Spark
 counts on how many pages of a host each hash occurs, and subtrees that recur on many pages of their host are
-deleted. "Many" is a fixed number (``min_pages``) at every host size. What the markup itself declares to be no article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) is deleted on every page, so that hosts with few pages are cleaned too.
+deleted. "Many" is a fixed number (``min_pages``) at every host size. Text blocks count like all others.
 
-The words of the article are safe: paragraphs, headings and list items inside ``article`` or ``main`` never count as
-template, since copies of an article on one host repeat them as well. Identical pages of a host count once.
+Three things decide what is left of a page:
+
+- Elements whose tag or ``hidden`` attribute makes them no text of the page (``DROPPED``: scripts, styles, nav, footer, aside,
+  form ...) are deleted on every page, and a page with ``article`` or ``main`` is read from there only.
+- Counts: subtrees on ``min_pages`` or more pages of their host are deleted, whatever their names.
+- Names of classes, ids and roles (``MARKS``) delete only on hosts with fewer than ``few_pages`` different pages, where
+  counts say too little.
+
+Copies of an article repeat its blocks as well, but a template stands among different articles: inside ``article`` or ``main`` a
+subtree counts once for each distinct article around it. Articles of a host that share a name of four minimum
+hashes over their runs of four words are taken as one (of two that share 83 % of all runs practically always, of two
+that share a third about one in six). So a subtree of which nearly the whole article consists, on pages with little
+else, counts as article copies and stays. Identical pages of a host count once. Inline elements in running text are part of
+their sentence and stay.
 
 Null html is empty; a url without a host belongs to host "". A page without ``article`` or ``main`` is read from its
 whole body. Extra columns of ``pages`` are not carried.
@@ -16,12 +27,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from frota.llm.common import over_text, stored
+from frota.llm.common import mixed, over_text, stored
 
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +48,6 @@ DROPPED = frozenset(
     "head nav footer aside form button select textarea script style noscript template iframe svg object canvas dialog menu "
     "title audio video".split()
 )
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th figcaption b i em strong a span code".split())
 #: Names of classes, ids and roles that mark what is no article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice "
@@ -50,6 +62,9 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _INERT = DROPPED - frozenset("nav footer aside form dialog menu".split())
 _COMMENTS = frozenset("comment comments commentlist".split())
+#: Minimum hashes of an article: 16 names of 4 each.
+_BANDS = 16
+_SEEDS = mixed(np.arange(1, 4 * _BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 class Node:
@@ -150,8 +165,8 @@ def parse(text: str) -> Node:
     return root
 
 
-def _declared(node: Node, in_article: bool) -> bool:
-    """Whether the markup says that this is no article; classes, ids and roles count as whole words."""
+def _declared(node: Node, in_article: bool, by_name: bool = True) -> bool:
+    """Whether the markup says that this is no article; classes, ids and roles count as whole words, and only ``by_name``."""
     if node.tag in DROPPED or node.hidden:
         return True
     if node.tag == "header":
@@ -160,7 +175,7 @@ def _declared(node: Node, in_article: bool) -> bool:
         return False
     if node.tag in ("article", "main"):
         return not _COMMENTS.isdisjoint(node.marks)
-    return not MARKS.isdisjoint(node.marks) or (not in_article and "header" in node.marks)
+    return by_name and (not MARKS.isdisjoint(node.marks) or (not in_article and "header" in node.marks))
 
 
 def _has_own_text(main: Node) -> bool:
@@ -205,25 +220,69 @@ def _wrappers(root: Node) -> set[int]:
     return found
 
 
+def _running(parent: Node) -> bool:
+    """Whether ``parent`` has words of its own, so that inline elements in it are parts of a sentence."""
+    return any(isinstance(c, str) and c.strip() for c in parent.children)
+
+
 def template_candidates(root: Node) -> tuple[set[int], set[int]]:
-    """Hashes of the subtrees with text of a page, and those among them that stand in what would be extracted."""
+    """Hashes of the subtrees with text of a page, and those among them that stand in what would be extracted.
+
+    An element inside running text is part of its sentence and no candidate, nor are the roots and what is around them.
+    """
     roots = _roots(root)
     whole = roots == [root]
-    every, inside, queue = set(), set(), [(root, whole)]
-    starts = set(map(id, roots))
+    every, inside, queue = set(), set(), [(root, whole, False)]
+    starts, wrappers = set(map(id, roots)), _wrappers(root) if whole else set()
     while queue:
-        node, within = queue.pop()
-        within = within or id(node) in starts
-        if node.worded and node.tag not in ("html", "body", "article", "main") and (whole or not within or node.tag not in TEXT_BLOCKS):
+        node, within, running = queue.pop()
+        start = id(node) in starts
+        within = within or start
+        if node.worded and not start and node.tag not in ("html", "body", "article", "main") and (node.tag in BLOCKS or not running):
             every.add(node.digest)
-            if within and not _declared(node, within and not whole):
+            if within and _declared(node, not whole, False) and id(node) not in wrappers:
+                within = False
+            if within:
                 inside.add(node.digest)
-        queue += [(c, within) for c in node.children if isinstance(c, Node)]
+        running = _running(node)
+        queue += [(c, within, running) for c in node.children if isinstance(c, Node)]
     return every, inside
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article in page order, without what is declared or known to be no article."""
+def article_bands(root: Node) -> list[int]:
+    """Names of ``_BANDS`` groups of minimum hashes over the runs of four words inside the article or main.
+
+    Articles that differ in few words have a name in common, others hardly ever. A page read as a whole has none: its
+    template can be most of it, so it counts by itself.
+    """
+    roots = _roots(root)
+    if roots == [root]:
+        return []
+    names, stack = [], list(reversed(roots))
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            names += [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in item.split()]
+        elif item.tag not in _INERT:
+            stack += reversed(item.children)
+    word = np.array(names, np.uint64)
+    if len(word) >= 4:
+        run = mixed(mixed(word[:-3], word[1:-2]), mixed(word[2:-1], word[3:]))
+    else:
+        run = mixed(np.array([zlib.crc32(word.tobytes())], np.uint64))
+    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(run), 4096):
+        at = run[i : i + 4096, None] * _SEEDS
+        least = np.minimum(least, (at ^ (at >> np.uint64(32))).min(axis=0))
+    rows = least.reshape(_BANDS, -1)
+    name = np.arange(_BANDS, dtype=np.uint64)
+    for column in rows.T:
+        name = mixed(name, np.ascontiguousarray(column))
+    return name.view(np.int64).tolist()
+
+
+def main_text(root: Node, template: frozenset[int] = frozenset(), by_name: bool = True) -> str:
+    """Blocks of the article in page order, without what is declared (``by_name``: also by class, id or role) or template."""
     blocks, now = [], []
 
     def flush() -> None:
@@ -236,15 +295,16 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
     whole = roots == [root]
     wrappers = _wrappers(root) if whole else set()
     for start in roots:
-        stack: list = [start]
+        stack: list = [(start, False)]
         while stack:
-            item = stack.pop()
+            item, running = stack.pop()
             if item is None:
                 flush()
             elif isinstance(item, str):
                 now.append(item)
             elif item is not start and (
-                (_declared(item, not whole) and id(item) not in wrappers) or (item.digest in template and (whole or item.tag not in TEXT_BLOCKS))
+                (_declared(item, not whole, by_name) and id(item) not in wrappers)
+                or (item.digest in template and (item.tag in BLOCKS or not running) and item.tag not in ("html", "body", "article", "main"))
             ):
                 if item.tag in BLOCKS:
                     flush()
@@ -254,8 +314,9 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
                 block = item.tag in BLOCKS
                 if block:
                     flush()
-                    stack.append(None)
-                stack += reversed(item.children)
+                    stack.append((None, False))
+                running = bool(template) and _running(item)
+                stack += [(c, running) for c in reversed(item.children)]
         flush()
     return "\n\n".join(blocks)
 
@@ -265,47 +326,73 @@ def host(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+_EVERY = "host bigint, hash bigint, inside boolean"
+_FOUND = "key bigint, host bigint, hashes array<bigint>, inside array<boolean>, bands array<bigint>"
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 63)
+
+
 def template_hashes(pages: DataFrame, min_pages: int) -> DataFrame:
     """(key, hashes): for pages (by content key) the hashes of their template subtrees inside the article, stored."""
+    texts = pages.select("key", "_host", "html")
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for key, name, text in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hosts, hashes, within = [], [], []
+        for name, text in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             every, inside = template_candidates(parse(text or ""))
-            rows += [(key, name, h - (1 << 63), h in inside) for h in every]
-        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "host", "hash", "inside"])
-
-    subtrees = over_text(pages.select("key", "host", "html"), work, "key bigint, host string, hash bigint, inside boolean", "html")
-    # identical pages of a host have one key; equal hashes of one page were merged when they were made
-    counted = subtrees.distinct().groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
-    recurring = stored(counted.where(F.col("n") >= min_pages), "html-recurring")
-    wanted = recurring.where("inside")
-    if wanted.isEmpty():
+            hosts += [name] * len(every)
+            hashes += map(_signed, every)
+            within += [h in inside for h in every]
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64()), pa.array(within, pa.bool_())], names=["host", "hash", "inside"])
+
+    # identical pages still count each here, so that rows shrink before they move: what is left out occurs too rarely
+    counted = over_text(texts, listed, _EVERY, "html").groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    often = stored(counted.where((F.col("n") >= min_pages) & F.col("inside")).select(F.col("host").alias("_h"), F.col("hash").alias("_x")), "html-recurring")
+    if often.isEmpty():
         return pages.sparkSession.createDataFrame([], "key bigint, hashes array<bigint>")
-    template = wanted.select(F.col("host").alias("_h"), F.col("hash").alias("_x"))
-    found = (
-        subtrees.where("inside")
-        .join(template, (F.col("host") == F.col("_h")) & (F.col("hash") == F.col("_x")))
-        .groupBy("key")
-        .agg(F.collect_set("hash").alias("hashes"))
-    )
-    return stored(found, "html-template")
 
-
-def extracted(pages: DataFrame, min_pages: int = 10) -> DataFrame:
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for key, name, text in zip(batch.column("key").to_pylist(), batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            root = parse(text or "")
+            every, inside = template_candidates(root)
+            every = list(every)
+            rows.append((key, name, list(map(_signed, every)), [h in inside for h in every], article_bands(root) if inside else []))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "host", "hashes", "inside", "bands"])
+
+    at = over_text(texts, found, _FOUND, "html").select("key", "host", "bands", F.inline(F.arrays_zip("hashes", "inside")))
+    at = at.withColumnRenamed("hashes", "hash").join(often, (F.col("host") == F.col("_h")) & (F.col("hash") == F.col("_x")))
+    at = stored(at.select("key", "host", "hash", "inside", "bands"), "html-occurrences")
+    # an article stands for the articles of its host that nearly equal it: its name is the smallest key that shares a band
+    bands = at.where("inside").groupBy("key", "host").agg(F.first("bands").alias("bands"))
+    bands = stored(bands.select("key", "host", F.explode("bands").alias("band")), "html-bands")
+    least = bands.groupBy("host", "band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("_h"), F.col("band").alias("_b"), "least")
+    same = bands.join(least, (F.col("host") == F.col("_h")) & (F.col("band") == F.col("_b"))).groupBy(F.col("key").alias("_k")).agg(F.min("least").alias("least"))
+    around = at.join(same, F.col("key") == F.col("_k"), "left")
+    around = around.select("host", "hash", F.when(F.col("inside"), F.coalesce("least", "key")).otherwise(F.col("key")).alias("around")).distinct()
+    template = around.groupBy("host", "hash").count().where(F.col("count") >= min_pages).select(F.col("host").alias("_h"), F.col("hash").alias("_x"))
+    marked = at.where("inside").join(template, (F.col("host") == F.col("_h")) & (F.col("hash") == F.col("_x")))
+    return stored(marked.groupBy("key").agg(F.collect_set("hash").alias("hashes")), "html-template")
+
+
+def extracted(pages: DataFrame, min_pages: int = 10, few_pages: int = 50) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html", host().alias("host"))
-    pages = pages.withColumn("key", F.xxhash64("host", F.coalesce("html", F.lit(""))))
+    pages = pages.select("page_id", "url", "html", F.xxhash64(host()).alias("_host"))
+    pages = pages.withColumn("key", F.xxhash64("_host", F.coalesce("html", F.lit(""))))
     template = template_hashes(pages, min_pages).withColumnRenamed("key", "_k")
-    # a small template table is broadcast below Spark's own threshold; then no page is moved
-    pages = pages.join(template, F.col("key") == F.col("_k"), "left").select("page_id", "url", "html", "hashes")
+    sizes = pages.select("_host", "key").distinct().groupBy(F.col("_host").alias("_h")).agg(F.count("*").alias("n"))
+    large = stored(sizes.where(F.col("n") >= few_pages).select("_h"), "html-large-hosts")
+    # small tables are broadcast below Spark's own threshold; then no page is moved
+    pages = pages.join(template, F.col("key") == F.col("_k"), "left").join(large, F.col("_host") == F.col("_h"), "left")
+    pages = pages.select("page_id", "url", "html", "hashes", F.col("_h").isNull().alias("few"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
-            main_text(parse(text or ""), frozenset(h + (1 << 63) for h in hashes or ()))
-            for text, hashes in zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist(), strict=True)
+            main_text(parse(text or ""), frozenset(h + (1 << 63) for h in hashes or ()), few)
+            for text, hashes, few in zip(*(batch.column(c).to_pylist() for c in ("html", "hashes", "few")), strict=True)
         ]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -454,6 +454,29 @@ def test_template_of_a_section_at_every_host_size(spark):
     assert len(got) == 320 and all(r.text == f"Story {r.page_id} of this page" for r in got)
 
 
+def test_counts_decide_about_text_blocks_and_spare_copies(spark):
+    draw = np.random.default_rng(5)
+    some = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 5000, n))
+    page = "<body><article><h1>{0}</h1><p>{1}</p><p>Read <b>our</b> terms</p><div class='promo'>{2}</div></article></body>"
+    rows = [(i, f"https://big.example/{i}", page.format(some(4), some(80), f"Own {i}")) for i in range(60)]
+    # copies of one article, and near copies of another, with the same template
+    title, text, other, base = some(4), some(80), some(4), [some(40), some(40), some(40)]
+    rows += [(100 + i, f"https://big.example/c/{i}?", page.format(title, text, "Copy") + f"<footer>{i}</footer>") for i in range(30)]
+    for i in range(30):
+        near = [" ".join("changed" if j == i + 1 and k == i % 3 else w for j, w in enumerate(b.split())) for k, b in enumerate(base)]
+        rows.append((200 + i, f"https://big.example/n/{i}", page.format(other, "</p><p>".join(near), "Near")))
+    rows += [(300 + i, f"https://small.example/{i}", page.format(some(4), some(80), "Own")) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.extracted(pages).collect()}
+    assert len(got) == len(rows)
+    for i, _, html in rows:
+        blocks = [re.sub("<[^>]*>", "", b) for b in re.findall("<(?:h1|p)>(.*?)</(?:h1|p)>", html)]
+        if i < 300:
+            assert got[i] == [b for b in blocks if b != "Read our terms"] + re.findall("promo'>([^<]*)", html)
+        else:
+            assert got[i] == blocks
+
+
 # ---- preference formatting
 
 
