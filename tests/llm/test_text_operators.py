@@ -395,6 +395,28 @@ def test_toxic_words_are_found_on_held_out_texts(spark, empty):
     assert toxicity.scored(empty, model).count() == 0
 
 
+def test_toxic_phrases_of_ordinary_words():
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me", "no", "ra", "so", "tu", "we") for b in ("ran", "ling", "mo", "pes", "da", "ti")]
+    bad = [[plain[i] for i in at] for at in ((3, 17, 42, 8), (25, 50, 11, 33), (59, 2, 30, 21))]
+    texts = {0: [], 1: []}
+    for i in range(900):
+        body = list(rng.choice(plain, 60))
+        for at in rng.integers(0, 56, 3):
+            body[at : at + 4] = bad[rng.integers(3)] if i % 4 == 0 else rng.permutation(bad[rng.integers(3)])
+        texts[int(i % 4 == 0)].append(" ".join(body).encode())
+    model = toxicity.fit(texts[1][:180], texts[0][:540])
+    distances = model.distances.open()
+    toxic, ordinary = ([model.score(np.array([toxicity.features(*distances(t))]))[0] for t in some] for some in (texts[1][180:], texts[0][540:]))
+    assert np.mean(np.array(toxic)[:, None] > np.array(ordinary)[None, :]) > 0.7
+
+
+def test_every_characteristic_word_counts():
+    texts = [b" ".join(b"bad%d" % (i * 5 + j) for j in range(5)) for i in range(120)]
+    toxic = [b" ".join([t, b"x%d" % k]) for k in range(3) for t in (b" ".join(w + b" pad%d a b" % k for w in t.split()) for t in texts)]
+    assert len([w for w in toxicity.characteristic(toxic, [b"a b c d e"]) if w.startswith(b"bad")]) == 600
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.learned(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert toxicity.scored(docs, model).count() == len(TEXTS)
