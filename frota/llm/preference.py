@@ -68,7 +68,8 @@ def shortened_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations (conv_id, turn, role, text).
 
     Chosen is the conversation up to its last assistant turn; rejected is the same with that turn's text cut to half
-    its characters, an answer that breaks off. Conversations without an assistant turn are whole on both sides.
+    its characters, an answer that breaks off. Conversations without a numbered assistant turn are whole on both sides.
+    In all others what follows the last assistant turn, and turns without a number, are left out.
     """
     ends = (
         conversations.where("role = 'assistant'").groupBy(F.col("conv_id").alias("_c")).agg(F.max("turn").alias("last_turn"))

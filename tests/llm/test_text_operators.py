@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from frota.llm import html_text, interpolation, mixing, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm import html_text, interpolation, mixing, packing, preference, quality_rules, queries, simhash, suffix_dedup, toxicity
 from frota.llm.common import crc_part, stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -502,6 +502,14 @@ def test_counts_decide_about_text_blocks_and_spare_copies(spark):
 # ---- preference formatting
 
 
+def test_turns_without_number_through_the_query(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "long answer"), (1, 2, "user", "thanks"), (1, None, "user", "lost")]
+    rows += [(2, None, "assistant", "no number"), (2, 0, "user", "q")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.conv_id, r.part, r.turn if r.turn is not None else 9, r.role) for r in queries.op4_preference(spark, str(tmp_path)).collect())
+    assert got == [(1, "chosen", 1, "assistant"), (1, "prompt", 0, "user"), (1, "rejected", 1, "assistant"), (2, "prompt", 0, "user"), (2, "prompt", 9, "assistant")]
+
+
 def test_preference_prefix_and_masks(spark):
     schema = "pair_id bigint, turn bigint, role string, text string"
     chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (2, 0, "user", "same"), (None, 0, None, None), (3, 0, "user", "a"), (3, 0, "user", "a")]
