@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import html_text, interpolation, mixing, neighbours, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm import exact_topk, html_text, interpolation, lexical_search, mixing, neighbours, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
 from frota.llm.common import crc_part, read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,56 @@ FROM parts
 @query
 def op9_neighbours(spark, d):
     return neighbours.nearest(read_table(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op11_exact_topk(spark, d):
+    return exact_topk.top_k(read_table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op11_exact_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op13_lexical_search(spark, d):
+    return lexical_search.search(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"), k=20)
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH doc_terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), item_terms AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM sizes
+), lengths AS (
+    SELECT doc_id, 75 + (25 * n * nn) // l AS m FROM sizes, totals
+), tfs AS (
+    SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY doc_id, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term, nn
+), scored AS (
+    SELECT i.item_id, t.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * m.m))) AS BIGINT) AS score
+    FROM item_terms i JOIN tfs t USING (term) JOIN weights w USING (term) JOIN lengths m ON m.doc_id = t.doc_id
+    GROUP BY i.item_id, t.doc_id
+), ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
