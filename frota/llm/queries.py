@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from frota.llm import exact_topk, html_text, interpolation, lexical_search, mixing, neighbours, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
+from frota.llm import collocations, exact_topk, html_text, interpolation, lexical_search, mixing, neighbours, packing, preference, quality_rules, simhash, suffix_dedup, toxicity
 from frota.llm.common import crc_part, read_table, stored
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,43 @@ WITH doc_terms AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op12_collocations(spark, d):
+    return collocations.mined(read_table(spark, d, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), placed AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), grams AS (
+    SELECT lang, w[i:i + k - 1] AS g, count(*) AS a FROM placed, (SELECT unnest(range(1, 6)) AS k) sizes
+    WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), kept AS (
+    SELECT lang, g, a FROM grams p WHERE len(g) >= 2 AND NOT EXISTS (
+        SELECT 1 FROM grams q WHERE q.lang = p.lang AND len(q.g) > len(p.g) AND q.a >= p.a
+        AND ' ' || array_to_string(q.g, ' ') || ' ' LIKE '%' || ' ' || replace(replace(replace(array_to_string(p.g, ' '), '\', '\\'), '%', '\%'), '_', '\_') || ' ' || '%' ESCAPE '\')
+), cuts AS (
+    SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept
+), parts AS (
+    SELECT c.lang, c.g, c.a, c.k, x.a AS l, y.a AS r, t.n,
+           CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+    FROM cuts c JOIN grams x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN grams y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]
+    JOIN totals t ON t.lang = c.lang
+), worst AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM parts
+), ranked AS (
+    SELECT *, array_to_string(g, ' ') AS phrase,
+           row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM worst WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
