@@ -158,7 +158,7 @@ class Block:
         self.places = np.frombuffer(row["places"], np.uint16).astype(np.int64)
         tf = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
         self.parts = 1_000_000_000 * tf // (1000 * tf + 12 * m[self.places])
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        begins = np.append(np.zeros(1, np.int64), ends)[:-1]
         best = np.maximum.reduceat(self.parts, begins) if len(words) else []
         self.lists = {int(w): (int(b), int(e), int(x)) for w, b, e, x in zip(words, begins, ends, best, strict=True)}
 
