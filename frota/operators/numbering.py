@@ -31,3 +31,21 @@ def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 0) -> Dat
         .withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND(_LOW_BITS) + start)
         .drop("_mono", "_part", "_before")
     )
+
+
+def running_sum(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """``name``: the sum of ``weight`` over all rows before this one in the given order.
+
+    As ``dense_ids``: rows are range-partitioned, sums run within partitions, and only one sum a partition is added up in one place.
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_mono", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_mono", 33))
+    totals = placed.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part").orderBy("_mono").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.join(F.broadcast(earlier), "_part")
+        .withColumn(name, F.col("_before") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+        .drop("_mono", "_part", "_before")
+    )

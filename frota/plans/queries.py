@@ -494,9 +494,9 @@ def dispatch(spark, d):
 
 @query
 def dispatch_zoned(spark, d):
-    """The same dispatch cut into zones of 16 orders and slices of 64, so that many zones settle together."""
+    """The same dispatch cut into zones of 512 orders and slices of 64, so that many zones settle together."""
     views = ("pedidos", "restaurantes", "clientes", "entregadores", "grafo_nos", "grafo_arestas")
-    given = dp.dispatch(*[table(spark, d, v) for v in views], zone_orders=16, slice_orders=64)
+    given = dp.dispatch(*[table(spark, d, v) for v in views], zone_orders=512, slice_orders=64)
     return given.select("id_pedido", "id_entregador", "road_dist", "motivo")
 
 
