@@ -8,6 +8,11 @@ from pyspark.sql import Column, functions as F
 ITEMS_SCHEMA = "array<map<string,string>>"
 
 
+#: A route as it is stored: its numbers are decimals.
+_POINT = "struct<lat:decimal(20,10),lon:decimal(20,10)>"
+ROUTE_STORED = f"array<struct<from:{_POINT},to:{_POINT},weight:decimal(20,10)>>"
+
+
 def to_iso(ts: Column) -> Column:
     """ISO text as the event tables keep it: the fraction is left out when it is zero."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from frota.plans.queries import AS_OF
 from frota.plans.views import with_views
 
@@ -475,3 +477,30 @@ _put(
     """SELECT id_pedido, ts, 'CONFIRMED' AS status, substr(md5(concat_ws('|', id_pedido, 'CONFIRMED')), 1, 8) AS event_id, CAST(NULL AS BIGINT) AS id_entregador FROM novos""",
     _NEW,
 )
+
+# ---- the fleet over two triggers
+
+
+def _again(text: str) -> str:
+    """The same tables after the first trigger."""
+    return re.sub(r"\b(pedidos|entregadores|se|dist|perto|opcoes|espera|serie|despacho)\b", r"\g<1>_b", text)
+
+
+_AFTER = """pedidos_b AS (SELECT p.id_pedido, p.id_cliente, p.id_restaurante, coalesce(d.id_entregador, p.id_entregador) AS id_entregador,
+ CASE WHEN d.id_entregador IS NOT NULL THEN 'DELIVERED' ELSE p.status END AS status FROM pedidos p LEFT JOIN despacho d ON d.id_pedido = p.id_pedido
+ UNION ALL SELECT id_pedido, id_cliente, id_restaurante, NULL, CASE WHEN id_pedido % 3 = 0 THEN 'PREPARING' ELSE 'CONFIRMED' END FROM novos),
+entregadores_b AS (SELECT e.id_entregador, CASE WHEN d.id_pedido IS NOT NULL THEN 'AVAILABLE' ELSE e.status END AS status,
+ CASE WHEN d.id_pedido IS NOT NULL THEN c.latitude ELSE e.latitude END AS latitude, CASE WHEN d.id_pedido IS NOT NULL THEN c.longitude ELSE e.longitude END AS longitude
+ FROM entregadores e LEFT JOIN despacho d ON d.id_entregador = e.id_entregador LEFT JOIN clientes c ON c.id_cliente = d.id_cliente)"""
+_put(
+    "stream_fleet",
+    [*_DISPATCH, "novos_pedidos", "alocacoes"],
+    """SELECT 'pedido' AS tabela, p.id_pedido AS chave, p.status, coalesce(d.id_entregador, p.id_entregador) AS outro FROM pedidos_b p LEFT JOIN despacho_b d ON d.id_pedido = p.id_pedido
+UNION ALL SELECT 'entregador', e.id_entregador, CASE WHEN d.id_pedido IS NOT NULL THEN 'BUSY' ELSE e.status END, NULL FROM entregadores_b e LEFT JOIN despacho_b d ON d.id_entregador = e.id_entregador
+UNION ALL SELECT 'alocacao', id_entregador, status, id_pedido FROM (SELECT *, row_number() OVER (PARTITION BY id_entregador, ts ORDER BY id_pedido DESC) AS rn FROM alocacoes) a WHERE rn = 1
+UNION ALL SELECT 'alocacao', id_entregador, 'ATIVO', id_pedido FROM despacho WHERE id_entregador IS NOT NULL
+UNION ALL SELECT 'alocacao', id_entregador, 'INATIVA', id_pedido FROM despacho WHERE id_entregador IS NOT NULL
+UNION ALL SELECT 'alocacao', id_entregador, 'ATIVO', id_pedido FROM despacho_b WHERE id_entregador IS NOT NULL""",
+    ",\n".join([*_LIVRES, _SERIAL, _NEW, _AFTER, *[_again(part) for part in [*_LIVRES[3:], _SERIAL]]]),
+    recursive=True,
+)

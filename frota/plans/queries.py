@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frota.functions import scalars
 from frota.functions.geo import haversine_km
-from frota.functions.status import in_domain
+from frota.functions.status import LIFECYCLE, in_domain, status_at, step_of
 from frota.operators import dispatch as dp
 from frota.operators import graph, nearest, orders as order_ops, reads, report, routes, tracking
 from frota.plans.views import table
 from frota.session import cut_lineage, work_path
 from frota.sources import road_graph, schemas, tables
-from frota.streaming import dispatch as stream_dispatching
-from frota.streaming import positions as stream_positions_ops
-from frota.streaming import sinks, status as stream_status_ops
+from frota.streaming import fleet, positions as live_positions
 from frota.streaming.tracking import live_tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,24 +520,13 @@ def dispatch_routes(spark, d):
 
 def _allocations(spark, d) -> DataFrame:
     """What dispatch writes to the allocation log: both routes as decimals, and whether the customer has none."""
-    index = _nodes(spark, d)
-    given = cut_lineage(_dispatch(spark, d).where("id_entregador IS NOT NULL"))
-    courier = _crossing(spark, d, index, "entregadores", "origem")
-    rest = _crossing(spark, d, index, "restaurantes", "restaurante")
-    cust = _crossing(spark, d, index, "clientes", "cliente")
-    ends = cut_lineage(
-        given.join(courier, "id_entregador")
-        .join(rest, "id_restaurante")
-        .join(cust, "id_cliente")
-        .select("id_pedido", "origem", "restaurante", "cliente")
-    )
-    pairs = ends.selectExpr(
-        "inline(array(struct(origem AS source, restaurante AS target), struct(restaurante AS source, cliente AS target)))"
-    ).distinct()
-    found = routes.as_routes(_hops(spark, d, pairs)).select(
-        "source", "target", scalars.route_as(F.col("rota"), "decimal(20,10)").alias("rota")
-    )
-    return dp.allocation_rows(given, ALLOCATED_AT, dp.both_routes(ends, found))
+    views = ("pedidos", "restaurantes", "clientes", "entregadores", "grafo_nos", "grafo_arestas")
+    orders, restaurants, customers, couriers, nodes, edges = [table(spark, d, v) for v in views]
+    place = dp.city(restaurants, nodes, edges)
+    given = cut_lineage(dp.dispatch(orders, restaurants, customers, couriers, place=place).where("id_entregador IS NOT NULL"))
+    log = dp.allocation_rows(given, ALLOCATED_AT, dp.routes_of(given, couriers, customers, nodes, place))
+    legs = {leg: scalars.route_as(F.col(leg), "decimal(20,10)") for leg in ("rota_restaurante", "rota_cliente")}
+    return log.withColumns(legs)
 
 
 @query
@@ -603,59 +591,103 @@ def new_order_events(spark, d):
 # ---- streaming forms
 
 
-def _outcomes(spark, d) -> DataFrame:
-    """The updates land as files and are read as a stream."""
-    folder = work_path(spark, "updates")
-    updates = table(spark, d, "atualizacoes")
-    updates.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(updates.schema).parquet(f"{folder}/in")
-    judged = stream_status_ops.judge_stream(stream, table(spark, d, "pedidos"), table(spark, d, "entregadores"))
-    sinks.land_batches(judged, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return sinks.landed(spark, f"{folder}/out", stream_status_ops.OUTCOME)
+def _commands(rows: DataFrame, kind: str, **columns: str) -> DataFrame:
+    """Rows as commands of one kind; columns that are not named are null."""
+    given = {"kind": f"'{kind}'", **{c: c for c in rows.columns}, **columns}
+    fields = [c.split(" ") for c in fleet.COMMAND.split(", ")]
+    return rows.selectExpr(*[f"CAST({given.get(name, 'NULL')} AS {kept}) AS {name}" for name, kept in fields])
+
+
+class _Run:
+    """A fleet stream over one folder: every ``feed`` lands files and runs a trigger over them."""
+
+    def __init__(self, spark, d, assign: bool = True):
+        self.spark, self.folder, self.assign = spark, work_path(spark, "fleet"), assign
+        self.town = fleet.town(*[table(spark, d, v) for v in ("restaurantes", "clientes", "grafo_nos", "grafo_arestas")])
+        self.state = fleet.start(
+            spark, f"{self.folder}/state", *[table(spark, d, v) for v in ("pedidos", "entregadores", "eventos_pedido", "alocacoes")]
+        )
 
+    def feed(self, commands: DataFrame) -> None:
+        commands.write.mode("append").parquet(f"{self.folder}/in")
+        stream = self.spark.readStream.schema(fleet.COMMAND).parquet(f"{self.folder}/in")
+        fleet.run_fleet(stream, self.state, f"{self.folder}/checkpoint", self.town, self.assign).awaitTermination()
 
-def _live_positions(spark, d) -> DataFrame:
-    folder = work_path(spark, "telemetry")
-    telemetry = table(spark, d, "telemetria")
-    telemetry.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(telemetry.schema).parquet(f"{folder}/in")
-    latest = stream_positions_ops.position_stream(stream)
-    sinks.land_batches(latest, f"{folder}/out", f"{folder}/checkpoint", "update").awaitTermination()
-    return sinks.landed(spark, f"{folder}/out", stream_positions_ops.POSITION)
+
+def _updated(spark, d) -> _Run:
+    """All status updates, the first half of them in one trigger and the others in the next."""
+    run = _Run(spark, d, assign=False)
+    updates = _commands(table(spark, d, "atualizacoes"), "STATUS")
+    half = updates.agg(F.max("seq")).first()[0] // 2
+    run.feed(updates.where(F.col("seq") <= half))
+    run.feed(updates.where(F.col("seq") > half))
+    return run
+
+
+def _live_positions(spark, d):
+    """Telemetry in three triggers, the newest third first."""
+    folder, telemetry = work_path(spark, "telemetry"), table(spark, d, "telemetria")
+    state = live_positions.position_state(spark, f"{folder}/state")
+    first, last = telemetry.agg(F.min(F.unix_date(F.to_date("ts"))), F.max(F.unix_date(F.to_date("ts")))).first()
+    third = F.floor((F.unix_date(F.to_date("ts")) - first) * 3 / (last - first + 1))
+    for part in (2, 0, 1):
+        telemetry.where(third == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(telemetry.schema).parquet(f"{folder}/in")
+        live_positions.run_positions(stream, state, f"{folder}/checkpoint").awaitTermination()
+    return state
 
 
 @query
 def stream_status(spark, d):
-    return _outcomes(spark, d).select(*_OUTCOME)
+    return _updated(spark, d).state.read("resultados").select(*_OUTCOME)
 
 
 @query
 def stream_positions(spark, d):
-    return stream_positions_ops.compact(_live_positions(spark, d)).selectExpr(
-        "id_entregador", "ts", _r("latitude", 9), _r("longitude", 9)
-    )
+    return _live_positions(spark, d).read("posicoes").selectExpr("id_entregador", "ts", _r("latitude", 9), _r("longitude", 9))
 
 
 @query
 def stream_tracking(spark, d):
-    return _tracked(live_tracking(_outcomes(spark, d), _live_positions(spark, d), table(spark, d, "eventos_pedido")))
+    return _tracked(live_tracking(_updated(spark, d).state, _live_positions(spark, d)))
+
+
+def _tick(spark, ts: str) -> DataFrame:
+    return _commands(spark.sql(f"SELECT 0L AS seq, timestamp_ntz'{ts}' AS ts"), "TICK")
 
 
 @query
 def stream_dispatch(spark, d):
-    """The waiting orders arrive as files and are dispatched on versioned snapshots."""
-    folder = work_path(spark, "dispatch")
-    columns = ["id_pedido", "id_restaurante", "id_cliente", "status", "id_entregador"]
-    waiting = reads.waiting_orders(table(spark, d, "pedidos")).select(*columns)
-    waiting.write.parquet(f"{folder}/in")
-    stream_dispatching.start_version(f"{folder}/state", table(spark, d, "entregadores"), waiting.where(F.lit(False)))
-    stream = spark.readStream.schema(waiting.schema).parquet(f"{folder}/in")
-    views = ("restaurantes", "clientes", "grafo_nos", "grafo_arestas")
-    run = stream_dispatching.run_dispatch(
-        stream, f"{folder}/state", f"{folder}/checkpoint", *[table(spark, d, v) for v in views]
-    )
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] + 1
-    return stream_dispatching.dispatched(spark, f"{folder}/state", last).select(
-        "id_pedido", "id_entregador", "road_dist", "motivo"
-    )
+    """Nothing arrives but a tick: the orders that wait are dispatched."""
+    run = _Run(spark, d)
+    run.feed(_tick(spark, ALLOCATED_AT))
+    return run.state.read("despachos").select("id_pedido", "id_entregador", "road_dist", "motivo")
+
+
+@query
+def stream_fleet(spark, d):
+    """Two triggers. All requests create orders, and the orders that wait are dispatched. Then every order that was given a courier is
+    brought and its courier released, a third of the new orders is prepared, and who was released takes the next orders."""
+    run = _Run(spark, d)
+    requests = table(spark, d, "novos_pedidos").selectExpr("*", "to_json(array(struct(item, qtd))) AS lista_itens")
+    run.feed(_commands(requests, "PEDIDO"))
+    orders, before = run.state.read("pedidos"), table(spark, d, "pedidos").select(F.col("id_pedido").alias("old"))
+    given = run.state.read("despachos").where("id_entregador IS NOT NULL").select("id_pedido", F.col("id_entregador").alias("courier"))
+    given = cut_lineage(orders.join(given, "id_pedido"))
+    steps = given.withColumn("passo", F.explode(F.sequence(step_of(F.col("status")) + 1, F.lit(len(LIFECYCLE) - 1))))
+    steps = steps.select(
+        "id_pedido", (F.col("id_pedido") * 10 + F.col("passo")).alias("seq"), status_at(F.col("passo")).alias("novo_status"),
+        F.expr(f"timestamp_ntz'{ALLOCATED_AT}' + make_dt_interval(0, 0, passo)").alias("ts"),
+    )
+    new = orders.join(before, F.col("id_pedido") == F.col("old"), "left_anti").where("id_pedido % 3 = 0")
+    prepared = new.selectExpr("id_pedido", "id_pedido * 10 AS seq", "'PREPARING' AS novo_status", f"timestamp_ntz'{ALLOCATED_AT}' AS ts")
+    freed = given.selectExpr("id_pedido", "courier AS id_entregador", "id_pedido AS seq", f"timestamp_ntz'{ALLOCATED_AT}' + INTERVAL '1' DAY AS ts")
+    parts = [_commands(steps, "STATUS"), _commands(prepared, "STATUS"), _commands(freed, "LIBERACAO")]
+    run.feed(reduce(DataFrame.unionByName, parts))
+    state = run.state
+    tables = [
+        state.read("pedidos").selectExpr("'pedido' AS tabela", "id_pedido AS chave", "status", "id_entregador AS outro"),
+        state.read("entregadores").selectExpr("'entregador'", "id_entregador", "status", "CAST(NULL AS BIGINT)"),
+        state.read("alocacoes").selectExpr("'alocacao'", "id_entregador", "status", "id_pedido"),
+    ]
+    return reduce(DataFrame.union, tables)

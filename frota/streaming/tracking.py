@@ -1,26 +1,13 @@
-"""Live order tracking: two landed state tables joined when read."""
+"""Live order tracking: two tables of one row a key, joined when read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from frota.operators.tracking import join_positions, latest_events
-from frota.operators.latest import latest_per_key
-from frota.streaming.positions import compact
-
-
-def live_tracking(landed_outcomes: DataFrame, landed_positions: DataFrame, history: DataFrame) -> DataFrame:
-    """Every order that has an event, with the courier's last position.
-
-    Accepted updates follow the ``history`` (the event log when the stream began), in the order of ``seq``.
-    """
-    before = latest_events(history).select("id_pedido", "status", "id_entregador")
-    newest = latest_per_key(
-        landed_outcomes.where("resultado = 'OK'").select("id_pedido", "seq", "novo_status", "courier_evento"),
-        ["id_pedido"],
-        ["seq"],
-    ).selectExpr("id_pedido", "novo_status AS status", "courier_evento AS id_entregador")
-    newest = newest.unionByName(before.join(newest.select("id_pedido"), "id_pedido", "left_anti"))
-    return join_positions(newest, compact(landed_positions))
+from frota.operators.tracking import join_positions
+from frota.sources.snapshots import Snapshots
 
 
+def live_tracking(fleet: Snapshots, positions: Snapshots) -> DataFrame:
+    """Every order that has an event, with its courier's last position; the last version of both is read and nothing older."""
+    return join_positions(fleet.read("situacao").select("id_pedido", "status", "id_entregador"), positions.read("posicoes"))
