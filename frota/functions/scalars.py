@@ -45,6 +45,16 @@ def items_from_json(text: Column) -> Column:
     return F.from_json(text, ITEMS_SCHEMA)
 
 
+def items_variant(text: Column) -> Column:
+    """Items of any shape: numbers stay numbers, objects and lists may nest. Text that is no JSON gives null."""
+    return F.try_parse_json(text)
+
+
+def variant_text(items: Column) -> Column:
+    """Compact JSON; the keys of an object are in order."""
+    return F.to_json(items)
+
+
 def derived_event_id(*key: Column) -> Column:
     """Eight hex digits that a retried task produces again, unlike a random id."""
     return F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key])), 1, 8)

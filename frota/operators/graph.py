@@ -2,14 +2,13 @@
 
 Sources are spread over the cluster. An edge table that was counted and found small (a city) is
 broadcast, and every task relaxes whole blocks of sources against it with array operations, so the
-search is one job without a shuffle. Beyond that size the frontier of all sources is joined with the
-edges, one round of relaxation per job. Sums always run forward from the source, so both ways give
+search is one job without a shuffle. Beyond that size the graph is cut into regions (see ``road_regions``) that
+exchange the distances at their rims. Sums always run forward from the source, so both ways give
 the distances of a textbook search bit for bit.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +17,8 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from frota.operators import road_regions
+from frota.operators.road_regions import REGION_NODES, Regions, last_nodes
 from frota.session import broadcast_limit, cut_lineage, shuffle_width
 
 _EDGE_BYTES = 48
@@ -56,19 +57,20 @@ def first_edges(edges: DataFrame) -> DataFrame:
 @dataclass
 class Roads:
     """An edge table made ready for searches: ``light`` holds the smallest weight per pair of nodes,
-    ``shared`` the same as broadcast arrays if it was counted and found small, ``rejected`` the edges
-    that no search may use, with the reason."""
+    ``shared`` the same as broadcast arrays if it was counted and found small, else ``cut`` its regions; ``rejected``
+    the edges that no search may use, with the reason."""
 
     edges: DataFrame
     light: DataFrame
     shared: Broadcast | None
     rejected: DataFrame
+    cut: Regions | None = None
 
 
-def roads(edges: DataFrame, nodes: DataFrame | None = None, share: bool = True) -> Roads:
+def roads(edges: DataFrame, nodes: DataFrame | None = None, share: bool = True, region_nodes: int = REGION_NODES) -> Roads:
     """Edges with a negative, NaN or missing weight are rejected: a search over them would not end or
     would hide good edges. With ``nodes`` (node_id) so are edges with an unknown end. ``share=False``
-    searches by joins whatever the size."""
+    cuts the graph into regions whatever its size."""
     tagged = tagged_edges(edges, nodes)
     columns = ["edge_seq", "from_node", "to_node", "weight"]
     edges = cut_lineage(tagged.where("motivo IS NULL").select(*columns))
@@ -76,7 +78,7 @@ def roads(edges: DataFrame, nodes: DataFrame | None = None, share: bool = True)
     light = cut_lineage(relax_edges(edges))
     spark = edges.sparkSession
     if not share or light.count() * _EDGE_BYTES > broadcast_limit(spark):
-        return Roads(edges, light, None, rejected)
+        return Roads(edges, light, None, rejected, road_regions.regions(light, nodes, region_nodes))
     graph = light.toPandas().sort_values(["to_node", "from_node"])
     nodes = np.unique(graph[["from_node", "to_node"]].to_numpy())
     tail = np.searchsorted(nodes, graph["from_node"].to_numpy())
@@ -90,15 +92,21 @@ def distances(graph: Roads, pairs: DataFrame | None = None, sources: DataFrame |
     ``sources`` (source) asks for everything reachable. ``pairs`` (source, target) asks for these targets
     and only they are returned; a source stops spreading beyond its farthest target once all are reached.
     ``step`` is the round in which ``d`` was found, ``prev`` the last node before ``node`` on the path
-    (see ``predecessors``).
+    (see ``road_regions.last_nodes``).
     """
     if graph.shared is not None:
         return _search_blocks(graph.shared, _by_source(pairs, sources), "ends")
-    found = _search_rounds(graph.light, pairs, sources)
-    found = found.join(predecessors(found, graph.light), ["source", "node"], "left")
-    if pairs is None:
-        return found
-    return found.join(pairs.selectExpr("source", "target AS node").distinct(), ["source", "node"], "left_semi")
+    sources = (sources if pairs is None else pairs).select("source").distinct()
+    found = road_regions.found(road_regions.search(graph.cut, sources, pairs), pairs)
+    # a source that no edge touches reaches itself
+    alone = _off_graph(graph, sources)
+    if pairs is not None:
+        alone = alone.join(pairs.where("source = target").selectExpr("source AS asked").distinct(), F.col("source") == F.col("asked"), "left_semi")
+    return found.unionByName(alone.selectExpr("source", "source AS node", "0D AS d", "0 AS step", "CAST(NULL AS BIGINT) AS prev"))
+
+
+def _off_graph(graph: Roads, sources: DataFrame) -> DataFrame:
+    return sources.join(graph.cut.owners, F.col("source") == F.col("node"), "left_anti").select("source")
 
 
 def _by_source(pairs: DataFrame | None, sources: DataFrame | None) -> DataFrame:
@@ -212,119 +220,19 @@ def relax_block(source, targets, nodes, tail, head, weight):
     return dist, step
 
 
-def last_nodes(dist, step, tail, head, weight):
-    """The last node before each node, -1 where there is none; the rule is that of ``predecessors``."""
-    prev = np.full(dist.shape, -1)
-    if len(weight) == 0:
-        return prev
-    first = np.flatnonzero(np.diff(head, prepend=-1))
-    here, there = dist[:, tail], dist[:, head]
-    tight = (here + weight == there) & np.isfinite(there) & ((here < there) | (step[:, tail] < step[:, head]))
-    near = np.where(tight, here, np.inf)
-    nearest = np.repeat(np.minimum.reduceat(near, first, axis=1), np.diff(first, append=len(head)), axis=1)
-    chosen = np.minimum.reduceat(np.where(tight & (near == nearest), tail, dist.shape[1]), first, axis=1)
-    prev[:, head[first]] = np.where(chosen < dist.shape[1], chosen, -1)
-    return prev
-
-
-def _search_rounds(light: DataFrame, pairs: DataFrame | None, sources: DataFrame | None) -> DataFrame:
-    """Search with edges too many to broadcast: only fresh rows are shuffled to the edges."""
-    never = "CAST('Infinity' AS DOUBLE)"
-    if pairs is None:
-        sources = sources.select("source").distinct()
-        goals = sources.selectExpr("source", "source AS node").where("false")
-    else:
-        sources, goals = pairs.select("source").distinct(), pairs.selectExpr("source", "target AS node").distinct()
-    # a row per asked target exists from the start, at infinite distance
-    state = cut_lineage(
-        sources.selectExpr("source", "source AS node", "0.0D AS d", "false AS goal")
-        .unionByName(goals.selectExpr("source", "node", f"{never} AS d", "true AS goal"))
-        .groupBy("source", "node")
-        .agg(F.expr("min(d) AS d"), F.expr("bool_or(goal) AS goal"))
-        .selectExpr("source", "node", "d", "goal", "0 AS step", "d = 0 AS fresh")
-    )
-    step = 0
-    while not state.where("fresh").isEmpty():
-        step += 1
-        offered = (
-            state.where("fresh")
-            .join(light, F.col("node") == F.col("from_node"))
-            .selectExpr("source", "to_node AS node", "d + weight AS d", "NULL AS old", "false AS goal", "-1 AS step")
-        )
-        merged = (
-            state.selectExpr("source", "node", "d", "d AS old", "goal", "step")
-            .union(offered)
-            .groupBy("source", "node")
-            .agg(F.expr("min(d) AS d"), F.expr("min(old) AS old"), F.expr("max(goal) AS goal"), F.expr("max(step) AS step"))
-            .selectExpr("source", "node", "d", "goal", "step", "old IS NULL OR d < old AS better")
-        )
-        # a source whose targets all have a distance does not spread beyond the farthest
-        far = merged.where("goal").groupBy("source").agg(F.expr("max(d) AS far"))
-        state = cut_lineage(
-            merged.join(far, "source", "left").selectExpr(
-                "source",
-                "node",
-                "d",
-                "goal",
-                f"CASE WHEN better THEN {step} ELSE step END AS step",
-                "better AND (far IS NULL OR d < far) AS fresh",
-            )
-        )
-    return state.where(f"d < {never}").select("source", "node", "d", "step")
-
-
-def predecessors(found: DataFrame, light: DataFrame) -> DataFrame:
-    """(source, node, prev): the last node before ``node`` on its shortest path.
-
-    Among the edges that reach the distance exactly, the end with the smaller (distance, node)
-    wins, which is the order a priority queue settles them in. Along zero-weight edges distances
-    tie; there the earlier round decides, so no path ever closes a circle.
-    """
-    ahead = found.selectExpr("source", "node AS to_node", "d AS d_to", "step AS step_to")
-    tight = (
-        found.join(light, F.col("node") == F.col("from_node"))
-        .join(ahead, ["source", "to_node"])
-        .where("d + weight = d_to AND (d < d_to OR step < step_to)")
-    )
-    return tight.groupBy("source", "to_node").agg(F.expr("min_by(node, struct(d, node)) AS prev")).selectExpr(
-        "source", "to_node AS node", "prev"
-    )
-
-
 def paths(graph: Roads, pairs: DataFrame) -> DataFrame:
     """(source, target, pos, node): the nodes of each asked path, pos 0 at the source.
 
     Unreachable pairs have no rows; source = target has one. Over a broadcast graph the search itself walks
-    back from the targets. Otherwise ancestors are found by doubling, so a path of n nodes costs log2(n)
-    joins, not n.
+    back from the targets, over regions the walk goes from region to region.
     """
-    wanted = pairs.select("source", "target").distinct()
+    wanted = cut_lineage(pairs.select("source", "target").distinct())
     if graph.shared is not None:
         return _search_blocks(graph.shared, _by_source(wanted, None), "paths")
-    found = _search_rounds(graph.light, wanted, None)
-    found = cut_lineage(found.join(predecessors(found, graph.light), ["source", "node"], "left"))
-    asked = cut_lineage(
-        wanted.join(found.selectExpr("source", "node AS target", "step"), ["source", "target"])
-    )
-    # the hops of a path never exceed the round that found its distance
-    longest = asked.agg(F.max("step")).first()[0] or 0
-    sources = asked.select("source").distinct()
-    known = found.where("prev IS NOT NULL").join(sources, "source", "left_semi")
-    jump = cut_lineage(known.selectExpr("source", "node", "prev AS up"))
-    walk = asked.selectExpr("source", "target", "target AS node", "0 AS back")
-    for power in range(math.ceil(math.log2(longest + 1))):
-        walk = (
-            walk.join(jump, ["source", "node"], "left")
-            .selectExpr(
-                "source",
-                "target",
-                f"inline(array(struct(node AS node, back AS back), struct(up AS node, back + {2**power} AS back)))",
-            )
-            .where("node IS NOT NULL")
-        )
-        above = jump.selectExpr("source", "node AS up", "up AS upper")
-        jump = cut_lineage(jump.join(above, ["source", "up"]).selectExpr("source", "node", "upper AS up"))
-    return walk.selectExpr(
+    sources = wanted.select("source").distinct()
+    walk = road_regions.walked(road_regions.search(graph.cut, sources, wanted), wanted)
+    alone = _off_graph(graph, wanted.where("source = target").select("source").distinct())
+    return walk.unionByName(alone.selectExpr("source", "source AS target", "0 AS back", "source AS node")).selectExpr(
         "source",
         "target",
         "CAST(max(back) OVER (PARTITION BY source, target) - back AS INT) AS pos",

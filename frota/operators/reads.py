@@ -27,6 +27,24 @@ def order_history(events: DataFrame, order_ids: DataFrame | None = None) -> Data
     return events.orderBy("id_pedido", "ts")
 
 
+def order_histories(order_ids: DataFrame, events: DataFrame) -> DataFrame:
+    """(id_pedido, found, historico): every asked order once, its events as an array by time.
+
+    An order without events has ``found`` false and an empty array. An order has few events; the array holds one order's.
+    """
+    shown = [c for c in ("ts", "status", "event_id", "id_entregador") if c in events.columns]
+    asked = order_ids.select("id_pedido").distinct()
+    history = (
+        events.join(asked, "id_pedido", "left_semi")
+        .groupBy("id_pedido")
+        .agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("historico"))
+    )
+    empty = F.expr("array()").cast(history.schema["historico"].dataType)
+    return asked.join(history, "id_pedido", "left").select(
+        "id_pedido", F.col("historico").isNotNull().alias("found"), F.coalesce("historico", empty).alias("historico")
+    )
+
+
 def customer_orders(customer_ids: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Orders by ascending id per asked customer; ``found`` is false for unknown customers."""
     known = customers.select("id_cliente", F.lit(True).alias("_known"))

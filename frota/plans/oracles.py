@@ -92,6 +92,32 @@ _put(
     ["alocacoes"],
     """SELECT id_entregador, ts, status, id_pedido FROM (SELECT *, row_number() OVER (PARTITION BY id_entregador, ts ORDER BY id_pedido DESC) AS rn FROM alocacoes) a WHERE rn = 1""",
 )
+for _name, _view, _key, _shown in [
+    ("put_latest_event", "escritas_evento", "id_pedido", "id_pedido, ts, status, event_id, id_entregador"),
+    ("put_latest_position", "escritas_posicao", "id_entregador", "id_entregador, ts, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude"),
+]:
+    _put(_name, [_view], f"SELECT {_shown} FROM (SELECT *, row_number() OVER (PARTITION BY {_key}, ts ORDER BY lote DESC, write_seq DESC) AS rn FROM {_view}) w WHERE rn = 1")
+for _view, _key in [("clientes", "id_cliente"), ("restaurantes", "id_restaurante"), ("entregadores", "id_entregador"), ("pedidos", "id_pedido")]:
+    _places = "" if _view == "pedidos" else " REPLACE (round(latitude, 9) AS latitude, round(longitude, 9) AS longitude)"
+    _put(
+        f"seek_{_view}_pages",
+        [_view],
+        f"""SELECT * EXCLUDE (lugar, n){_places} FROM (SELECT *, row_number() OVER (ORDER BY {_key}) - 1 AS lugar, count(*) OVER () AS n FROM {_view}) t
+WHERE lugar >= n // 2 AND lugar < n // 2 + 150""",
+    )
+_put(
+    "order_history_lookup",
+    ["novos_pedidos", "eventos_pedido"],
+    """SELECT k.id_pedido, e.id_pedido IS NOT NULL AS found, CAST(CASE WHEN e.id_pedido IS NOT NULL THEN row_number() OVER (PARTITION BY k.id_pedido ORDER BY e.ts) - 1 END AS INT) AS ordem,
+ e.ts, e.status, CASE WHEN e.id_pedido IS NOT NULL THEN substr(md5(concat_ws('|', e.id_pedido, e.status)), 1, 8) END AS event_id, e.id_entregador
+FROM (SELECT DISTINCT seq * 2 + 1 AS id_pedido FROM novos_pedidos) k LEFT JOIN eventos_pedido e ON e.id_pedido = k.id_pedido""",
+)
+_put(
+    "order_items_variant",
+    ["novos_pedidos"],
+    """SELECT seq, texto, texto AS volta, item, item + 0.5::DOUBLE AS preco, qtd AS extra, CASE WHEN qtd = 2 THEN CAST(2 AS BIGINT) END AS tamanho FROM (
+ SELECT *, concat('[{"extras":["sal",', qtd, ',{"nota":null}],"item":', item, ',"preco":', item, '.5,"qtd":', qtd, '}', CASE WHEN qtd = 2 THEN ',{"item":{"nome":"x","tamanho":2}}' ELSE '' END, ']') AS texto FROM novos_pedidos) t""",
+)
 _put(
     "lookup_orders",
     ["novos_pedidos", "pedidos"],
@@ -332,6 +358,7 @@ _put(
     recursive=True,
 )
 ORACLES["road_paths_shuffled"] = ORACLES["paths"]
+ORACLES["road_distances_regions"] = ORACLES["shortest_distances"]
 
 # ---- state machine
 

@@ -14,7 +14,8 @@ from frota.operators import dispatch as dp
 from frota.operators import graph, nearest, orders as order_ops, reads, report, routes, tracking
 from frota.plans.views import table
 from frota.session import cut_lineage, work_path
-from frota.sources import road_graph, schemas, tables
+from frota.sources import paging, road_graph, schemas, tables
+from frota.sources.snapshots import Snapshots
 from frota.streaming import fleet, positions as live_positions
 from frota.streaming.tracking import live_tracking
 
@@ -74,8 +75,8 @@ def road_edges_rejected(spark, d):
     return graph.roads(edges, nodes).rejected
 
 
-def _roads(spark: SparkSession, d: str, share: bool = True) -> graph.Roads:
-    return graph.roads(table(spark, d, "grafo_arestas"), table(spark, d, "grafo_nos"), share)
+def _roads(spark: SparkSession, d: str, **options) -> graph.Roads:
+    return graph.roads(table(spark, d, "grafo_arestas"), table(spark, d, "grafo_nos"), **options)
 
 
 def _page(view: str, key: str, columns: list[str]) -> None:
@@ -142,6 +143,49 @@ def put_latest_allocation(spark, d):
     return tables.put_by_key(table(spark, d, "alocacoes"), "id_entregador", "ts", "id_pedido")
 
 
+def _put_in_batches(spark, d, name: str, view: str, columns: str) -> DataFrame:
+    """Batches of writes appended one after the other, folded on the way."""
+    state = Snapshots(spark, work_path(spark, "puts"), {name: fleet.TABLES[name]}, fold_every=2)
+    writes = table(spark, d, view).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for version, row in enumerate(writes.select("lote").distinct().orderBy("lote").collect()):
+        batch = state.begin(version)
+        batch.put(name, writes.where(F.col("lote") == row.lote), "write_seq")
+        batch.commit()
+    return state.read(name).selectExpr(*columns.split(", "))
+
+
+@query
+def put_latest_event(spark, d):
+    return _put_in_batches(spark, d, "eventos", "escritas_evento", "id_pedido, ts, status, event_id, id_entregador")
+
+
+@query
+def put_latest_position(spark, d):
+    kept = _put_in_batches(spark, d, "telemetria", "escritas_posicao", "id_entregador, ts, latitude, longitude")
+    return kept.selectExpr("id_entregador", "ts", _r("latitude", 9), _r("longitude", 9))
+
+
+def _pages(view: str, key: str) -> None:
+    """Whole rows: a page in the middle, the one that follows its last key, and one beyond the end."""
+
+    def run(spark, d):
+        folder, rows = work_path(spark, "pages"), table(spark, d, view)
+        paging.write_pages(rows, key, folder, folder_rows=64)
+        middle = rows.count() // 2
+        page = cut_lineage(paging.page_at(spark, folder, key, middle, 100, folder_rows=64))
+        last = page.agg(F.max(key)).first()[0]
+        following = paging.page_after(spark, folder, key, last, 50, folder_rows=64)
+        beyond = paging.page_after(spark, folder, key, 10**12, 50, folder_rows=64)
+        columns = [_r(c, 9) if c in ("latitude", "longitude") else c for c in rows.columns]
+        return page.unionByName(following).unionByName(beyond).selectExpr(*columns)
+
+    REGISTRY[f"seek_{view}_pages"] = run
+
+
+for _view in ("clientes", "restaurantes", "entregadores", "pedidos"):
+    _pages(_view, schemas.KEYS[_view])
+
+
 @query
 def lookup_orders(spark, d):
     keys = table(spark, d, "novos_pedidos").selectExpr("seq * 2 + 1 AS id_pedido")
@@ -213,6 +257,22 @@ def order_items_json(spark, d):
     return parsed.selectExpr("seq", "lista_itens", "CAST(i[0]['item'] AS BIGINT) AS item", "CAST(i[0]['qtd'] AS BIGINT) AS qtd")
 
 
+@query
+def order_items_variant(spark, d):
+    """Items with numbers, an object and a list inside, stored as text, parsed and written again."""
+    made = (
+        """concat('[{"extras":["sal",', CAST(qtd AS STRING), ',{"nota":null}],"item":', CAST(item AS STRING), ',"preco":', CAST(item AS STRING), '.5,"qtd":', """
+        """CAST(qtd AS STRING), '}', if(qtd = 2, ',{"item":{"nome":"x","tamanho":2}}', ''), ']')"""
+    )
+    stored = table(spark, d, "novos_pedidos").selectExpr("seq", f"{made} AS texto")
+    items = stored.select("seq", "texto", scalars.items_variant(F.col("texto")).alias("i"))
+    return items.select(
+        "seq", "texto", scalars.variant_text(F.col("i")).alias("volta"),
+        F.expr("variant_get(i, '$[0].item', 'bigint') AS item"), F.expr("variant_get(i, '$[0].preco', 'double') AS preco"),
+        F.expr("variant_get(i, '$[0].extras[1]', 'bigint') AS extra"), F.expr("try_variant_get(i, '$[1].item.tamanho', 'bigint') AS tamanho"),
+    )
+
+
 @query
 def id_text(spark, d):
     """Courier ids as the event log keeps them: text, empty, ``None`` or missing."""
@@ -258,6 +318,18 @@ def order_history(spark, d):
     return reads.order_history(table(spark, d, "eventos_pedido"))
 
 
+@query
+def order_history_lookup(spark, d):
+    """Asked orders, half of which are unknown, with their events in an array, and with none."""
+    asked = table(spark, d, "novos_pedidos").selectExpr("seq * 2 + 1 AS id_pedido")
+    events = table(spark, d, "eventos_pedido").select(
+        "*", scalars.derived_event_id(F.col("id_pedido"), F.col("status")).alias("event_id")
+    )
+    return reads.order_histories(asked, events).selectExpr("id_pedido", "found", "posexplode_outer(historico) AS (ordem, e)").selectExpr(
+        "id_pedido", "found", "ordem", "e.ts AS ts", "e.status AS status", "e.event_id AS event_id", "e.id_entregador AS id_entregador"
+    )
+
+
 @query
 def customer_orders(spark, d):
     asked = table(spark, d, "novos_pedidos").select("id_cliente")
@@ -442,8 +514,15 @@ def paths(spark, d):
 
 @query
 def road_paths_shuffled(spark, d):
-    """The same paths with the edges joined instead of broadcast."""
-    return _paths(_roads(spark, d, share=False), _delivery_pairs(spark, d))
+    """The same paths over a graph cut into regions of 16 crossings, none of it broadcast."""
+    return _paths(_roads(spark, d, share=False, region_nodes=16), _delivery_pairs(spark, d))
+
+
+@query
+def road_distances_regions(spark, d):
+    """Distances of the same legs over regions of 64 crossings."""
+    found = graph.distances(_roads(spark, d, share=False, region_nodes=64), pairs=_delivery_pairs(spark, d))
+    return found.select("source", "node", "d")
 
 
 _HOP = ["hop", "from_node", "to_node", _r("from_lat"), _r("from_lon"), _r("to_lat"), _r("to_lon"), "weight"]

@@ -81,6 +81,21 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """SELECT user_id + 1 AS id_entregador, ts,
  CAST(-23.60 AS DOUBLE) + CAST((event_id*13) % 1100 AS DOUBLE) / 10000e0 + CAST(event_id AS DOUBLE) / 1e7 AS latitude,
  CAST(-46.70 AS DOUBLE) + CAST((event_id*29) % 1100 AS DOUBLE) / 10000e0 + CAST(event_id AS DOUBLE) / 1e7 AS longitude FROM events""",
+    ),
+    # writes in batches: some events come again, some twice in one batch, with the key and time they had
+    "escritas_evento": (
+        ["eventos_pedido"],
+        """SELECT id_pedido, ts, status, id_entregador, lote, write_seq, substr(md5(concat_ws('|', CAST(id_pedido AS STRING), status, CAST(lote * 10 + write_seq AS STRING))), 1, 8) AS event_id
+ FROM (SELECT *, 0 AS lote, 0 AS write_seq FROM eventos_pedido
+ UNION ALL SELECT *, 1, 0 FROM eventos_pedido WHERE id_pedido % 3 = 0
+ UNION ALL SELECT *, 2, 1 FROM eventos_pedido WHERE id_pedido % 5 = 0
+ UNION ALL SELECT *, 2, 0 FROM eventos_pedido WHERE id_pedido % 5 < 2) w""",
+    ),
+    # positions to the hour, so that a courier has many with the same time
+    "escritas_posicao": (
+        ["events"],
+        """SELECT user_id + 1 AS id_entregador, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, event_id % 4 AS lote, event_id AS write_seq,
+ CAST(-23.60 AS DOUBLE) + CAST(event_id AS DOUBLE) / 1e7 AS latitude, CAST(-46.70 AS DOUBLE) + CAST(event_id AS DOUBLE) / 1e7 AS longitude FROM events""",
     ),
     "requisicoes": (
         ["events"],

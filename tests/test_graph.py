@@ -32,13 +32,13 @@ def random_edges(seed, nodes=14, n=60):
     return [(i, rng.randrange(nodes), rng.randrange(nodes), rng.choice(weights)) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", ["67108864", "0"])
-def test_distances_predecessors_and_paths_match_search(spark, limit):
-    """Fractional and tied weights, parallel edges, self loops; broadcast and shuffled search."""
+@pytest.mark.parametrize("limit, region", [("67108864", 4), ("0", 4), ("0", 100)])
+def test_distances_predecessors_and_paths_match_search(spark, limit, region):
+    """Fractional and tied weights, parallel edges, self loops; broadcast search, and small regions or one."""
     edges = random_edges(5, nodes=9, n=30)
     spark.conf.set("spark.frota.broadcastLimitBytes", limit)
     try:
-        ready = graph.roads(spark.createDataFrame(edges, EDGE))
+        ready = graph.roads(spark.createDataFrame(edges, EDGE), region_nodes=region)
         pairs = spark.createDataFrame([(s, t) for s in range(4) for t in range(9)], "source bigint, target bigint")
         sources = pairs.select("source").distinct()
         found = cut_lineage(graph.distances(ready, sources=sources))
@@ -72,7 +72,7 @@ def test_bounded_search_is_exact_for_its_targets(spark, limit):
     asked = [(s, (s * 3 + 1) % 8) for s in range(4)] + [(1, 99), (50, 50), (50, 1)]
     spark.conf.set("spark.frota.broadcastLimitBytes", limit)
     try:
-        ready = graph.roads(spark.createDataFrame(edges, EDGE))
+        ready = graph.roads(spark.createDataFrame(edges, EDGE), region_nodes=3)
         found = graph.distances(ready, pairs=spark.createDataFrame(asked, "source bigint, target bigint"))
         got = {(r.source, r.node): r.d for r in found.collect()}
     finally:
@@ -81,9 +81,10 @@ def test_bounded_search_is_exact_for_its_targets(spark, limit):
         assert got.get((s, t)) == search(edges, s)[0].get(t)
 
 
-def test_zero_weight_edges_never_close_a_circle(spark):
+@pytest.mark.parametrize("share", [True, False])
+def test_zero_weight_edges_never_close_a_circle(spark, share):
     edges = [(0, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 3, 2, 0.0), (3, 3, 4, 0.0), (4, 4, 3, 0.0), (5, 4, 5, 2.0), (6, 2, 2, 0.0)]
-    ready = graph.roads(spark.createDataFrame(edges, EDGE))
+    ready = graph.roads(spark.createDataFrame(edges, EDGE), share=share, region_nodes=2)
     pairs = spark.createDataFrame([(1, 5)], "source bigint, target bigint")
     found = cut_lineage(graph.distances(ready, pairs=pairs))
     path = graph.paths(ready, pairs).orderBy("pos").collect()
@@ -123,3 +124,19 @@ def test_search_returns_only_what_was_asked(spark):
     for share in (True, False):
         found = graph.distances(graph.roads(edges, share=share), pairs=pairs)
         assert {(r.source, r.node, r.d) for r in found.collect()} == {(0, 20, 20.0), (5, 5, 0.0)}
+
+
+def test_regions_exchange_rims_only_and_rounds_follow_regions_not_hops(spark, monkeypatch):
+    """A street of 60 crossings in regions of 10: six regions, so a handful of rounds, each over one region."""
+    from frota.operators import road_regions
+
+    rounds = []
+    plain = road_regions._in_regions
+    monkeypatch.setattr(road_regions, "_in_regions", lambda rows, *a: (rounds.append(rows.where("kind = 1").count()), plain(rows, *a))[1])
+    edges = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(59)], EDGE)
+    ready = graph.roads(edges, share=False, region_nodes=10)
+    pairs = spark.createDataFrame([(0, 59)], "source bigint, target bigint")
+    path = graph.paths(ready, pairs).orderBy("pos").collect()
+    assert [r.node for r in path] == list(range(60))
+    # one distance sent a round, forth and back
+    assert len(rounds) <= 13 and max(rounds) == 1

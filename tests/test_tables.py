@@ -4,7 +4,7 @@ from frota.functions import scalars, status
 from frota.operators import reads, tracking
 from frota.operators.numbering import dense_ids
 from frota.session import work_path
-from frota.sources import road_graph, schemas, tables
+from frota.sources import paging, road_graph, schemas, tables
 
 
 def test_dense_ids_cover_every_row_once(spark):
@@ -41,6 +41,34 @@ def test_put_lookup_page_insert(spark):
     assert [r.id for r in tables.page(spark.range(50), "id", 20, 3).collect()] == [20, 21, 22]
 
 
+def test_pages_by_place_and_by_key_read_few_folders(spark):
+    folder = work_path(spark, "test-pages")
+    table = spark.range(1000).selectExpr("id * 3 AS id", "concat('v', id) AS v", "id AS _rn")
+    paging.write_pages(table, "id", folder, folder_rows=50)
+    assert [r.id for r in paging.page_at(spark, folder, "id", 120, 3, folder_rows=50).collect()] == [360, 363, 366]
+    page = paging.page_after(spark, folder, "id", 447, 4, folder_rows=50)
+    assert [(r.id, r.v) for r in page.collect()] == [(450, "v150"), (453, "v151"), (456, "v152"), (459, "v153")]
+    assert sorted(page.columns) == ["_rn", "id", "v"] and len({f for f in page.inputFiles()}) <= 20
+    assert [r.id for r in paging.page_after(spark, folder, "id", None, 2, folder_rows=50).collect()] == [0, 3]
+    assert [r.id for r in paging.page_after(spark, folder, "id", 2990, 9, folder_rows=50).collect()] == [2991, 2994, 2997]
+    assert paging.page_after(spark, folder, "id", 2997, 9, folder_rows=50).count() == 0
+    assert "PartitionFilters: [isnotnull(_folder" in page._jdf.queryExecution().toString()
+
+
+def test_histories_tell_unknown_orders(spark):
+    events = spark.sql("""SELECT * FROM VALUES (1L, timestamp_ntz'2024-01-02 00:00:00', 'PREPARING', 'b', CAST(NULL AS BIGINT)),
+        (1L, timestamp_ntz'2024-01-01 00:00:00', 'CONFIRMED', 'a', NULL) AS t(id_pedido, ts, status, event_id, id_entregador)""")
+    asked = spark.createDataFrame([(1,), (1,), (404,)], "id_pedido bigint")
+    got = {r.id_pedido: (r.found, [e.event_id for e in r.historico]) for r in reads.order_histories(asked, events).collect()}
+    assert got == {1: (True, ["a", "b"]), 404: (False, [])}
+
+
+def test_items_of_any_shape(spark):
+    texts = ['[{"a":1.5,"b":[1,{"c":null}]},"x",7]', "[]", "no json", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.variant_text(scalars.items_variant(F.col("t"))))
+    assert [r[0] for r in rows.collect()] == [texts[0], "[]", None, None]
+
+
 def test_constraint_violations(spark):
     frames = {
         "clientes": spark.createDataFrame([(1,), (1,)], "id_cliente bigint"),
