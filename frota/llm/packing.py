@@ -50,14 +50,14 @@ class TokenBytes:
 
     The pre-tokenizer always cuts before a blank that anything but white space follows, so a text is encoded
     from one such blank to the next, and frequent pieces are looked up. A piece that is one word goes to the
-    merges directly. The table is emptied when it is full.
+    merges directly. The table is emptied when it is full. A text that spells a special token is encoded as a whole.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._merge = self._tokenizer.model.tokenize
         self._letters = _byte_letters()
         self._known: dict[str, bytes] = {}
@@ -86,6 +86,9 @@ class TokenBytes:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        # the text around a special token is cut there, so it is not encoded piece by piece
+        if any(token in text for token in self._special):
+            return self._encode(text)
         if len(self._known) > _CACHE_ENTRIES:
             self._known.clear()
         first, *rest = _LEAD.split(text) if _ODD.search(text) else text.split(" ")
