@@ -15,7 +15,6 @@ Null and word-free texts have fingerprint zero and are linked like any other.
 
 from __future__ import annotations
 
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +66,17 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     return over_text(docs.select(*dict.fromkeys([*keep, text])), work, schema, text)
 
 
-@cache
+#: Made once a task; a cache around the function would have executors import this module.
+_MADE: dict = {}
+
+
 def _patterns() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if "patterns" not in _MADE:
+        _MADE["patterns"] = _made_patterns()
+    return _MADE["patterns"]
+
+
+def _made_patterns() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Error patterns of up to radius + 2 bits sorted by syndrome, their excess over the radius, and where each
     syndrome begins."""
     bits = np.arange(_BLOCK_BITS)
