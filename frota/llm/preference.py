@@ -3,7 +3,7 @@
 A pair is two conversations, chosen and rejected, as rows (pair_id, turn, role, text). Their longest common turn
 prefix is found by joining the turns and taking the smallest place at which they differ; it is rendered once as the
 prompt, and what follows becomes two masked completions. The result has one row per rendered turn, so that a
-conversation of any length stays spread: ``part`` (prompt, chosen, rejected), ``place``, ``rendered``, and the part
+conversation of any length stays spread: ``part`` (prompt, chosen, rejected, or unpaired), ``place``, ``rendered``, and the part
 of it to learn from, ``learn_from`` to ``learn_to`` (0-based characters, end exclusive). Only assistant turns of
 completions are learned from, with their end mark but without their header.
 
@@ -43,8 +43,9 @@ def divergence(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return places.groupBy("pair_id").agg(F.min(_place()).alias("first"))
 
 
-def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rendered turns of all pairs; see the module."""
+def formatted(chosen: DataFrame, rejected: DataFrame, unpaired: DataFrame | None = None) -> DataFrame:
+    """Rendered turns of all pairs; see the module. ``unpaired`` turns belong to neither side: they are rendered and
+    kept as a part of their own, and never learned from."""
     chosen, rejected = _turns(chosen), _turns(rejected)
     first = divergence(chosen, rejected).select(F.col("pair_id").alias("_p"), "first")
     head = F.concat(F.lit(HEAD[0]), F.col("role"), F.lit(HEAD[1]))
@@ -56,7 +57,9 @@ def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         )
 
     rows = side(chosen, "chosen").unionByName(side(rejected, "rejected").where("part = 'rejected'"))
-    learns = (F.col("part") != "prompt") & (F.col("role") == "assistant")
+    if unpaired is not None:
+        rows = rows.unionByName(_turns(unpaired).withColumn("part", F.lit("unpaired")), allowMissingColumns=True)
+    learns = F.col("part").isin("chosen", "rejected") & (F.col("role") == "assistant")
     return rows.withColumn("rendered", F.concat(head, F.col("text"), F.lit(TAIL))).select(
         "pair_id", "part", "turn", "copy", "role", "rendered",
         F.when(learns, F.length(head)).otherwise(0).cast("long").alias("learn_from"),
@@ -64,21 +67,21 @@ def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def shortened_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides from plain conversations (conv_id, turn, role, text).
+def shortened_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chosen and rejected sides, and unpaired turns, from plain conversations (conv_id, turn, role, text).
 
     Chosen is the conversation up to its last assistant turn; rejected is the same with that turn's text cut to half
     its characters, an answer that breaks off. Conversations without a numbered assistant turn are whole on both sides.
-    In all others what follows the last assistant turn, and turns without a number, are left out.
+    In all others what follows the last assistant turn, and turns without a number, are unpaired.
     """
     ends = (
         conversations.where("role = 'assistant'").groupBy(F.col("conv_id").alias("_c")).agg(F.max("turn").alias("last_turn"))
     )
-    rows = conversations.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")), "left").where(
-        "last_turn IS NULL OR turn <= last_turn"
-    )
+    every = conversations.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    paired = F.col("last_turn").isNull() | F.coalesce(F.col("turn") <= F.col("last_turn"), F.lit(False))
+    rows, rest = every.where(paired), every.where(~paired).select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     chosen = rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     cut = (F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant")
     half = F.expr("substring(text, 1, cast(length(text) div 2 AS int))")
     rejected = rows.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.when(cut, half).otherwise(F.col("text")).alias("text"))
-    return chosen, rejected
+    return chosen, rejected, rest

@@ -80,16 +80,18 @@ def op3_html_text(spark, d):
 
 @query
 def op4_preference(spark, d):
-    chosen, rejected = preference.shortened_pairs(read_table(spark, d, "conversations"))
-    return preference.formatted(chosen, rejected).withColumnRenamed("pair_id", "conv_id")
+    sides = preference.shortened_pairs(read_table(spark, d, "conversations"))
+    return preference.formatted(*sides).withColumnRenamed("pair_id", "conv_id")
 
 
 ORACLES["op4_preference"] = """
 WITH ends AS (
     SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), every_ AS (
+    SELECT c.conv_id, c.turn, c.role, c.text, e.last_turn, e.last_turn IS NULL OR coalesce(c.turn <= e.last_turn, false) AS paired
+    FROM conversations c LEFT JOIN ends e USING (conv_id)
 ), rows_ AS (
-    SELECT c.conv_id, c.turn, c.role, c.text, e.last_turn FROM conversations c LEFT JOIN ends e USING (conv_id)
-    WHERE e.last_turn IS NULL OR c.turn <= e.last_turn
+    SELECT * FROM every_ WHERE paired
 ), chosen AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
            row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS copy
@@ -108,10 +110,13 @@ WITH ends AS (
     FROM chosen c LEFT JOIN firsts f USING (conv_id)
     UNION ALL
     SELECT r.*, 'rejected' FROM rejected r JOIN firsts f USING (conv_id) WHERE (r.turn, r.copy) >= f.at
+    UNION ALL
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS copy, 'unpaired' FROM every_ WHERE NOT paired
 )
 SELECT conv_id, part, turn, CAST(copy AS INT) AS copy, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
-       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE 0 END AS BIGINT) AS learn_from,
-       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END AS BIGINT) AS learn_to
+       CAST(CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 5 ELSE 0 END AS BIGINT) AS learn_from,
+       CAST(CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END AS BIGINT) AS learn_to
 FROM parts
 """
 

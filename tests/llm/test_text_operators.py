@@ -299,7 +299,10 @@ def test_pieces_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary_path())
-    tokenizer.encode_special_tokens = True
+    encode = packing.TokenBytes(packing.vocabulary_path())
+    for text in ("a  <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y.", " <|endoftext|>\n\n<|endoftext| >", LONG + " <|endoftext|>"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encode("a <|endoftext|>"), "<u4")
     rows = packing.packed(docs, capacity=64, with_ids=True).collect()
     encoded = {(i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in TEXTS}
     found, current = [], {}
@@ -507,7 +510,10 @@ def test_turns_without_number_through_the_query(spark, tmp_path):
     rows += [(2, None, "assistant", "no number"), (2, 0, "user", "q")]
     spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((r.conv_id, r.part, r.turn if r.turn is not None else 9, r.role) for r in queries.op4_preference(spark, str(tmp_path)).collect())
-    assert got == [(1, "chosen", 1, "assistant"), (1, "prompt", 0, "user"), (1, "rejected", 1, "assistant"), (2, "prompt", 0, "user"), (2, "prompt", 9, "assistant")]
+    assert got == [
+        (1, "chosen", 1, "assistant"), (1, "prompt", 0, "user"), (1, "rejected", 1, "assistant"), (1, "unpaired", 2, "user"),
+        (1, "unpaired", 9, "user"), (2, "prompt", 0, "user"), (2, "prompt", 9, "assistant"),
+    ]
 
 
 def test_preference_prefix_and_masks(spark):
