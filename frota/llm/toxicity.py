@@ -35,7 +35,7 @@ from frota.llm.common import byte_texts, mixed, over_text
 
 WINDOW_WORDS = 1
 PHRASE_WORDS = 4
-LEVEL = 12
+LEVEL, PHRASE_LEVEL = 12, 6
 #: Windows a dictionary is trained on, so that the driver's memory does not depend on the texts' lengths.
 MOST_WINDOWS = 1_000_000
 #: Distances in bytes that are counted.
@@ -68,14 +68,16 @@ class Distances:
     def open(self):
         """A function from text to the distances of its words and of its phrases."""
 
-        def compressor(content: bytes):
+        def compressor(content: bytes, level: int = LEVEL):
             data = zstandard.ZstdCompressionDict(content + _CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
+            data.precompute_compress(level=level)
             return zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
+                level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
             ).compress
 
-        plain, both, phrase = compressor(self.ordinary), compressor(self.ordinary + self.toxic), compressor(self.phrases)
+        plain, both = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
+        # phrases hardly repeat, so each is compressed, at a level that costs half as much
+        plainly, phrase = compressor(self.ordinary, PHRASE_LEVEL), compressor(self.phrases, PHRASE_LEVEL)
         known: dict[bytes, int] = {}
 
         def distances(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ class Distances:
                 words.append(d)
             for window in windows(text, PHRASE_WORDS) if self.phrases else ():
                 led = _CARRIER + window + _CARRIER[:32]
-                phrases.append(len(plain(led)) - len(phrase(led)))
+                phrases.append(len(plainly(led)) - len(phrase(led)))
             return np.array(words, np.int64), np.array(phrases, np.int64)
 
         return distances
