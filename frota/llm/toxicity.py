@@ -35,7 +35,7 @@ from frota.llm.common import byte_texts, mixed, over_text
 
 WINDOW_WORDS = 1
 PHRASE_WORDS = 4
-LEVEL, PHRASE_LEVEL = 12, 6
+LEVEL, PHRASE_LEVEL = 12, 1
 #: Windows a dictionary is trained on, so that the driver's memory does not depend on the texts' lengths.
 MOST_WINDOWS = 1_000_000
 #: Distances in bytes that are counted.
@@ -76,7 +76,7 @@ class Distances:
             ).compress
 
         plain, both = compressor(self.ordinary), compressor(self.ordinary + self.toxic)
-        # phrases hardly repeat, so each is compressed, at a level that costs half as much
+        # phrases hardly repeat, so each is compressed, at a level that costs a third
         plainly, phrase = compressor(self.ordinary, PHRASE_LEVEL), compressor(self.phrases, PHRASE_LEVEL)
         known: dict[bytes, int] = {}
 
