@@ -31,6 +31,8 @@ HEADLINE = [
     "stream_status",
     "stream_tracking",
     "stream_dispatch",
+    "stream_fleet",
+    "road_distances_regions",
 ]
 
 

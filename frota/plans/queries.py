@@ -479,10 +479,14 @@ def _crossing(spark, d, index: nearest.NearestIndex, view: str, name: str) -> Da
 def _delivery_pairs(spark, d) -> DataFrame:
     """(source, target): restaurant and customer crossing of every waiting order."""
     waiting = reads.waiting_orders(table(spark, d, "pedidos")).select("id_restaurante", "id_cliente")
-    index = _nodes(spark, d)
-    rest, cust = _crossing(spark, d, index, "restaurantes", "source"), _crossing(spark, d, index, "clientes", "target")
-    pairs = waiting.join(rest, "id_restaurante").join(cust, "id_cliente").select("source", "target").distinct()
-    return cut_lineage(pairs)
+    # one descent places both; even keys are restaurants
+    rest = table(spark, d, "restaurantes").selectExpr("id_restaurante * 2 AS k", "latitude", "longitude")
+    cust = table(spark, d, "clientes").selectExpr("id_cliente * 2 + 1 AS k", "latitude", "longitude")
+    at = cut_lineage(nearest.nearest_nodes(rest.unionByName(cust), _nodes(spark, d), "k"))
+    pairs = waiting.join(at.selectExpr("k AS r", "node_id AS source"), F.expr("id_restaurante * 2 = r")).join(
+        at.selectExpr("k AS c", "node_id AS target"), F.expr("id_cliente * 2 + 1 = c")
+    )
+    return cut_lineage(pairs.select("source", "target").distinct())
 
 
 def _paths(ready: graph.Roads, pairs: DataFrame) -> DataFrame:
