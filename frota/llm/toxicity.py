@@ -35,7 +35,7 @@ from frota.llm.common import byte_texts, mixed, over_text
 
 WINDOW_WORDS = 1
 PHRASE_WORDS = 4
-LEVEL, PHRASE_LEVEL = 12, 1
+LEVEL, PHRASE_LEVEL = 12, 3
 #: Windows a dictionary is trained on, so that the driver's memory does not depend on the texts' lengths.
 MOST_WINDOWS = 1_000_000
 #: Distances in bytes that are counted.
