@@ -7,10 +7,15 @@ deleted. "Many" is a fixed number (``min_pages``) at every host size. Text block
 Three things decide what is left of a page:
 
 - Elements whose tag or ``hidden`` attribute makes them no text of the page (``DROPPED``: scripts, styles, nav, footer, aside,
-  form ...) are deleted on every page, and a page with ``article`` or ``main`` is read from there only.
+  form ...) are deleted on every page. A page with ``article`` or ``main`` is read from there only, unless more words stand outside
+  of them that nothing declares: then it is read as a whole.
 - Counts: subtrees on ``min_pages`` or more pages of their host are deleted, whatever their names.
-- Names of classes, ids and roles (``MARKS``) delete only on hosts with fewer than ``few_pages`` different pages, where
-  counts say too little.
+- Names of classes, ids and roles (``MARKS``, and compounds that begin or end with one of ``PARTS``) delete on every page what differs from
+  page to page and so escapes the counts, such as reader comments and adverts. A name says nothing about an element that holds nine
+  tenths of the words read: it wraps the page.
+
+All three are the same at every size of a host and of a page. Scanning is linear in the length of a page: tags are
+read with possessive patterns up to the last ">". A quote counts only behind "=" and where it is closed, an unclosed tag is text.
 
 Copies of an article repeat its blocks as well, but a template stands among different articles: inside ``article`` or ``main`` a
 subtree counts once for each distinct article around it. Articles of a host that share a name of four minimum
@@ -55,13 +60,23 @@ MARKS = frozenset(
     "comment comments commentlist respond reply replies discussion disqus share sharing social related popup modal "
     "complementary contentinfo search widget masthead topbar pager pagination skip toolbar".split()
 )
+#: Words that mark a compound name (``comment-body``, ``site-footer``) where they are its first or last part.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies newsletter nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar footer comment comments disqus related".split()
+)
+#: Compounds with one of these parts say how a page is set up and mark nothing.
+SETTINGS = frozenset("no not has with without hide is open closed on off enabled disabled".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table body article main section div nav aside header footer td th form select".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(
+    r"<!-->|<!--->|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?/][^>]*+>", re.S
+)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _INERT = DROPPED - frozenset("nav footer aside form dialog menu".split())
 _COMMENTS = frozenset("comment comments commentlist".split())
+_PART = re.compile(r"[-_]+")
 #: Minimum hashes of an article: 16 names of 4 each.
 _BANDS = 16
 _SEEDS = mixed(np.arange(1, 4 * _BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -110,6 +125,8 @@ def parse(text: str) -> Node:
 
     def close_to(tags: set[str]) -> None:
         """Close the innermost open element of ``tags`` unless a scope stands in between."""
+        if not any(open_tags.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 while len(stack) > i:
@@ -118,17 +135,22 @@ def parse(text: str) -> Node:
             if stack[i].tag in _SCOPES:
                 return
 
+    last = text.rfind(">") + 1  # no tag ends behind it, so every "<" that could begin a tag before it does
     while True:
-        found = _TAG.search(text, at)
+        found = _TAG.search(text, at, last)
         if found is None:
-            if at < len(text):
-                stack[-1].children.append(text[at:])
+            open_comment = text.find("<!--", max(at, last))
+            rest = text[at:] if open_comment < 0 else text[at:open_comment]
+            if rest:
+                stack[-1].children.append(rest)
             break
         if found.start() > at:
             stack[-1].children.append(text[at : found.start()])
         at = found.end()
         tag = found[2]
         if not tag:
+            if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         if found[1]:
@@ -165,17 +187,29 @@ def parse(text: str) -> Node:
     return root
 
 
-def _declared(node: Node, in_article: bool, by_name: bool = True) -> bool:
-    """Whether the markup says that this is no article; classes, ids and roles count as whole words, and only ``by_name``."""
+def _marked(names: list[str], words: frozenset[str], parts: frozenset[str]) -> bool:
+    """Whether a name is one of ``words``, or a compound that begins or ends with one of ``parts``."""
+    if not words.isdisjoint(names):
+        return True
+    for name in names:
+        some = _PART.split(name)
+        if len(some) > 1 and (some[0] in parts or some[-1] in parts) and SETTINGS.isdisjoint(some):
+            return True
+    return False
+
+
+def _declared(node: Node, in_article: bool, by_name: bool = True, read: int = 0) -> bool:
+    """Whether the markup says that this is no article; classes, ids and roles count only ``by_name``, and not on an
+    element that holds nine tenths of the ``read`` words."""
     if node.tag in DROPPED or node.hidden:
         return True
     if node.tag == "header":
         return not in_article
-    if node.tag in ("body", "html"):
+    if node.tag in ("body", "html") or (read and 10 * node.words >= 9 * read):
         return False
     if node.tag in ("article", "main"):
-        return not _COMMENTS.isdisjoint(node.marks)
-    return by_name and (not MARKS.isdisjoint(node.marks) or (not in_article and "header" in node.marks))
+        return _marked(node.marks, _COMMENTS, _COMMENTS)
+    return by_name and (_marked(node.marks, MARKS, PARTS) or (not in_article and "header" in node.marks))
 
 
 def _has_own_text(main: Node) -> bool:
@@ -192,7 +226,8 @@ def _has_own_text(main: Node) -> bool:
 
 
 def _roots(root: Node) -> list[Node]:
-    """The outermost articles, and mains with text outside their articles; without either the whole page.
+    """The outermost articles, and mains with text outside their articles; the whole page without either, or if
+    more words stand outside of them that nothing declares.
 
     Wrappers that look declared are searched where nothing stands outside of them, forms always.
     """
@@ -206,10 +241,22 @@ def _roots(root: Node) -> list[Node]:
             elif not hidden or node.tag == "form" or (through and node.tag not in _INERT):
                 queue += [c for c in reversed(node.children) if isinstance(c, Node)]
         if found:
-            return found
+            return found if _words_beside(root, found) <= sum(node.words for node in found) else [root]
     return [root]
 
 
+def _words_beside(root: Node, roots: list[Node]) -> int:
+    """Words outside ``roots`` and outside all that is declared."""
+    words, queue, inside = 0, [root], set(map(id, roots))
+    while queue:
+        for child in queue.pop().children:
+            if isinstance(child, str):
+                words += len(child.split())
+            elif child.worded and id(child) not in inside and not _declared(child, False):
+                queue.append(child)
+    return words
+
+
 def _wrappers(root: Node) -> set[int]:
     """Forms around most of the words of a page that is read as a whole: they wrap it and are no part of it."""
     found, node = set(), root
@@ -281,8 +328,8 @@ def article_bands(root: Node) -> list[int]:
     return name.view(np.int64).tolist()
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset(), by_name: bool = True) -> str:
-    """Blocks of the article in page order, without what is declared (``by_name``: also by class, id or role) or template."""
+def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
+    """Blocks of the article in page order, without what is declared or template."""
     blocks, now = [], []
 
     def flush() -> None:
@@ -294,16 +341,17 @@ def main_text(root: Node, template: frozenset[int] = frozenset(), by_name: bool
     roots = _roots(root)
     whole = roots == [root]
     wrappers = _wrappers(root) if whole else set()
+    read = sum(node.words for node in roots)
     for start in roots:
-        stack: list = [(start, False)]
+        stack: list = [(start, False, not whole)]
         while stack:
-            item, running = stack.pop()
+            item, running, within = stack.pop()
             if item is None:
                 flush()
             elif isinstance(item, str):
                 now.append(item)
             elif item is not start and (
-                (_declared(item, not whole, by_name) and id(item) not in wrappers)
+                (_declared(item, within, True, read) and id(item) not in wrappers)
                 or (item.digest in template and (item.tag in BLOCKS or not running) and item.tag not in ("html", "body", "article", "main"))
             ):
                 if item.tag in BLOCKS:
@@ -314,9 +362,10 @@ def main_text(root: Node, template: frozenset[int] = frozenset(), by_name: bool
                 block = item.tag in BLOCKS
                 if block:
                     flush()
-                    stack.append((None, False))
+                    stack.append((None, False, within))
                 running = bool(template) and _running(item)
-                stack += [(c, running) for c in reversed(item.children)]
+                within = within or item.tag in ("article", "main")
+                stack += [(c, running, within) for c in reversed(item.children)]
         flush()
     return "\n\n".join(blocks)
 
@@ -378,21 +427,18 @@ def template_hashes(pages: DataFrame, min_pages: int) -> DataFrame:
     return stored(marked.groupBy("key").agg(F.collect_set("hash").alias("hashes")), "html-template")
 
 
-def extracted(pages: DataFrame, min_pages: int = 10, few_pages: int = 50) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = 10) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", F.xxhash64(host()).alias("_host"))
     pages = pages.withColumn("key", F.xxhash64("_host", F.coalesce("html", F.lit(""))))
     template = template_hashes(pages, min_pages).withColumnRenamed("key", "_k")
-    sizes = pages.select("_host", "key").distinct().groupBy(F.col("_host").alias("_h")).agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") >= few_pages).select("_h"), "html-large-hosts")
-    # small tables are broadcast below Spark's own threshold; then no page is moved
-    pages = pages.join(template, F.col("key") == F.col("_k"), "left").join(large, F.col("_host") == F.col("_h"), "left")
-    pages = pages.select("page_id", "url", "html", "hashes", F.col("_h").isNull().alias("few"))
+    # a small table is broadcast below Spark's own threshold; then no page is moved
+    pages = pages.join(template, F.col("key") == F.col("_k"), "left").select("page_id", "url", "html", "hashes")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
-            main_text(parse(text or ""), frozenset(h + (1 << 63) for h in hashes or ()), few)
-            for text, hashes, few in zip(*(batch.column(c).to_pylist() for c in ("html", "hashes", "few")), strict=True)
+            main_text(parse(text or ""), frozenset(h + (1 << 63) for h in hashes or ()))
+            for text, hashes in zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist(), strict=True)
         ]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
