@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force, and the pipeline stage by stage."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -39,6 +40,43 @@ def test_nearest_with_copies_and_unusable_vectors(spark):
             assert abs(s - float(np.dot(rows[q], rows[i]))) < 1e-9
 
 
+def recall_of(frame, rows, k, **options):
+    got = {}
+    for r in neighbours.nearest(frame, F.col("id") % 20 == 0, k=k, **options).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    want = brute(rows, k)
+    assert set(got) == set(want)
+    return {q: sum(s >= want[q][-1][1] - 1e-9 for s in found) / k for q, found in got.items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"top": 128, "degree": 16, "width": 64}])
+def test_queries_inside_tight_clusters_get_out(spark, options):
+    """Short vectors whose nearest ones by inner product are a cluster of longer ones far from them in the graph; with
+    a small ``top`` there are several levels with graphs."""
+    rng = np.random.default_rng(6)
+    axes = rng.standard_normal((20, 16))
+    axes /= np.linalg.norm(axes, axis=1)[:, None]
+    rows = {}
+    for i in range(4000):
+        length = 1.0 + i // 100 % 2
+        rows[i] = ((axes[i // 200] + 0.01 * rng.standard_normal(16)) * length).tolist()
+    frame = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
+    recall = recall_of(frame, rows, 20, **options)
+    assert np.mean(list(recall.values())) >= 0.9
+    assert np.mean([x for q, x in recall.items() if q // 100 % 2 == 0]) >= 0.9  # the short ones alone
+
+
+def test_search_widens_until_the_measured_recall(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = {i: rng.standard_normal(12).tolist() for i in range(600)}
+    frame = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
+    recall = recall_of(frame, rows, 20, degree=8, width=20, top=64, target=0.99)
+    assert np.mean(list(recall.values())) >= 0.95
+    monkeypatch.setattr(neighbours, "measured_recall", lambda *_: 0.5)
+    with pytest.warns(UserWarning, match="recall 0.500"):
+        neighbours.nearest(frame, F.col("id") % 20 == 0, degree=8, width=600, top=64)
+
+
 def test_nearest_of_few_and_of_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [2.0, 0.0])], schema)
