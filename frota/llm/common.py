@@ -28,6 +28,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``needed`` under names that no operator uses, and the name each column had.
+
+    Names are given by place, so clashing and even equal names are carried; ``toDF(*names.values())`` gives them back.
+    """
+    names = {column if column in needed else f"carried_{i}": column for i, column in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
 def crc_part(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

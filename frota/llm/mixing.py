@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from frota.llm.common import WORD, stored
+from frota.llm.common import WORD, apart, stored
 from frota.operators.numbering import dense_ids
 
 _BINS = 64
@@ -250,7 +250,8 @@ def mix(
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as its copies say, columns unchanged."""
+    """The mix itself: each row of ``docs`` as often as its copies say, columns unchanged, whatever they are called."""
+    docs, names = apart(docs, "doc_id", "source", text)
     columns = docs.columns
     counts = mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_c")).where("_c > 0")
     return (
@@ -258,4 +259,5 @@ def repeated(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame
         .join(counts, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
         .select(*columns)
+        .toDF(*names.values())
     )

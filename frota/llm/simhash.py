@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from frota.llm.common import as_long, byte_texts, over_text, stored
+from frota.llm.common import apart, as_long, byte_texts, over_text, stored
 from frota.llm.components import components, local_labels
 from frota.session import shuffle_width
 
@@ -248,7 +248,8 @@ def with_components(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
 def representatives(docs: DataFrame, threshold: int = 2, text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, columns unchanged: the one with the smallest id (nulls last, then by
-    the hash of its text); of rows equal in both, any one."""
+    the hash of its text); of rows equal in both, any one. Columns may have any names."""
+    docs, names = apart(docs, "doc_id", text)
     keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
     prints = stored(with_fingerprints(keyed, text, ("doc_id", "_hash")), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))
@@ -261,4 +262,4 @@ def representatives(docs: DataFrame, threshold: int = 2, text: str = "text") ->
     kept = keyed.join(chosen, same())
     if not chosen.where("_n > 1").isEmpty():
         kept = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_i", "_h"]))
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).toDF(*names.values())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from frota.llm.common import as_long, byte_texts, mixed, stored, text_slices
+from frota.llm.common import apart, as_long, byte_texts, mixed, stored, text_slices
 from frota.operators.numbering import dense_ids
 from frota.session import shuffle_width
 
@@ -312,9 +312,11 @@ def _sorted_map(df: DataFrame, key: str, order: list[str], work, schema: str) ->
 def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text", as_text: bool = False) -> DataFrame:
     """Every row of ``docs`` with ``kept`` (the bytes left), ``spans`` (removed, begin and end), ``n_bytes``,
     ``n_removed`` and ``n_spans`` in place of its text. With ``as_text`` kept is a string; characters of which only
-    some bytes are left go."""
+    some bytes are left go. A column of ``docs`` that has one of these five names is replaced, all others are carried,
+    whatever they are called."""
     if not 2 * SEED <= threshold <= 128 + SEED:
         raise ValueError("names are laid out for thresholds of 64 to 160 bytes")
+    docs, names = apart(docs, "doc_id", text)
     docs = _identified(docs.withColumnRenamed(text, "text"))
     found = stored(
         _sorted_map(
@@ -358,6 +360,7 @@ def deduplicated(docs: DataFrame, threshold: int = 100, text: str = "text", as_t
                 )
 
     result = joined.mapInArrow(finish, schema)
-    if "_rows" not in carried:
-        return result
-    return result.withColumn("_rows", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_rows")
+    if "_rows" in carried:
+        result = result.withColumn("_rows", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_rows")
+    made = schema.names[-5:]
+    return result.select(*(F.col(c).alias(names.get(c, c)) for c in result.columns if c in made or names[c] not in made))

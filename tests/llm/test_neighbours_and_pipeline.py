@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from frota.llm import neighbours
+from frota.llm import neighbours, suffix_dedup
 from frota.llm.common import read_table
 
 SMALL = "/root/testdata/sf0.001"
@@ -111,3 +111,35 @@ def test_pipeline_on_an_empty_table(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
         docs = spark.createDataFrame([], docs.schema)
+
+
+#: Names that the operators of the stages use for themselves.
+CLASHING = (
+    "n_bytes n_removed n_spans spans kept open doc at name context _doc _rows _gone _d _null _hash _i _h _n _size _copy _c _z _s _stats "
+    "stats base_failed quality fingerprint label component_id copies size n rate target source_size piece start length sequence_id offset"
+).split()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = read_table(spark, SMALL, "documents").withColumn("n_chars", F.col("n_chars").cast("long"))
+    docs = docs.where("doc_id < 150")
+    docs = docs.unionByName(docs.where("doc_id < 10"))  # repeated rows
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain = stage(spark, docs, SMALL)
+        got = stage(spark, wide, SMALL)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, got.select(*docs.columns).collect())), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING), name
+    name, stage = corpus_pipeline.STAGES[4]
+    assert sorted(map(tuple, stage(spark, docs, SMALL).select("doc_id", "piece", "start", "length").collect())) == sorted(
+        map(tuple, stage(spark, wide, SMALL).select("doc_id", "piece", "start", "length").collect())
+    )
+
+
+def test_repeats_replace_columns_of_their_own_names(spark):
+    docs = spark.createDataFrame([(1, "a" * 300, 7, "x"), (2, "b", 8, "y"), (2, "b", 8, "y")], "doc_id bigint, text string, n_bytes int, _rows string")
+    got = suffix_dedup.deduplicated(docs)
+    assert got.columns == ["doc_id", "_rows", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    assert sorted((r.doc_id, r._rows, r.n_bytes) for r in got.collect()) == [(1, "x", 300), (2, "y", 1), (2, "y", 1)]
