@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result is written as Parquet and
-read back as the next one's docs. All but the last return the columns of ``documents``.
+read back as the next one's docs. All but the last return the columns of ``documents``; further columns are
+carried, whatever they are called.
 """
 
 from __future__ import annotations
@@ -9,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from frota.llm import mixing, packing, quality_rules, simhash, suffix_dedup
-from frota.llm.common import read_table, stored
+from frota.llm.common import apart, read_table, stored
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base check or a learned rule go."""
+    docs, names = apart(docs, "doc_id", "text")
     rules = quality_rules.learned(docs, read_table(spark, sf_dir, "labels"))
     judged = quality_rules.judged(quality_rules.with_statistics(docs, name="_stats"), rules, "_stats")
-    return judged.where("kept").select(*docs.columns)
+    return judged.where("kept").select(*docs.columns).toDF(*names.values())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a string of 100 bytes that also starts earlier go; ``n_chars`` is counted anew."""
+    docs, names = apart(docs, "doc_id", "text", "n_chars")
     kept = suffix_dedup.deduplicated(docs, as_text=True)
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*docs.columns).toDF(*names.values())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its place in a sequence of at most 1024 tokens."""
-    return packing.packed(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.packed(docs.select("doc_id", "text")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
