@@ -140,3 +140,20 @@ def test_regions_exchange_rims_only_and_rounds_follow_regions_not_hops(spark, mo
     assert [r.node for r in path] == list(range(60))
     # one distance sent a round, forth and back
     assert len(rounds) <= 13 and max(rounds) == 1
+
+
+def test_a_round_over_regions_handles_a_row_a_part_not_a_source(spark, monkeypatch):
+    """30 sources of one street are one part, so what a region hears for them is one row; a target off the graph does not
+    make its source look at the whole street."""
+    from frota.operators import road_regions
+
+    rounds = []
+    plain = road_regions._in_regions
+    monkeypatch.setattr(road_regions, "_in_regions", lambda rows, *a: (rounds.append(rows.where("kind = 1").count()), plain(rows, *a))[1])
+    edges = spark.createDataFrame([(i * 2 + j, i + j, i + 1 - j, 1.0) for i in range(199) for j in (0, 1)], EDGE)
+    ready = graph.roads(edges, share=False, region_nodes=10)
+    pairs = spark.createDataFrame([(s, t) for s in range(30) for t in (s + 1, 9999)], "source bigint, target bigint")
+    found = graph.distances(ready, pairs=pairs)
+    assert {(r.source, r.node, r.d) for r in found.collect()} == {(s, s + 1, 1.0) for s in range(30)}
+    # a region hears from two neighbours at most, and the end of the street is never reached
+    assert max(rounds) <= 12 and len(rounds) <= 12
