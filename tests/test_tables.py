@@ -55,6 +55,15 @@ def test_pages_by_place_and_by_key_read_few_folders(spark):
     assert "PartitionFilters: [isnotnull(_folder" in page._jdf.queryExecution().toString()
 
 
+def test_small_pages_do_not_make_many_folders(spark):
+    folder = work_path(spark, "test-pages")
+    paging.write_pages(spark.range(3000).selectExpr("id * 2 AS id"), "id", folder, folder_rows=10)
+    assert len(spark.read.parquet(f"{folder}/rows").inputFiles()) <= 4
+    assert spark.read.parquet(f"{folder}/index").count() == 300
+    assert [r.id for r in paging.page_at(spark, folder, "id", 1995, 12, folder_rows=10).collect()] == list(range(3990, 4014, 2))
+    assert [r.id for r in paging.page_after(spark, folder, "id", 3999, 11, folder_rows=10).collect()] == list(range(4000, 4022, 2))
+
+
 def test_histories_tell_unknown_orders(spark):
     events = spark.sql("""SELECT * FROM VALUES (1L, timestamp_ntz'2024-01-02 00:00:00', 'PREPARING', 'b', CAST(NULL AS BIGINT)),
         (1L, timestamp_ntz'2024-01-01 00:00:00', 'CONFIRMED', 'a', NULL) AS t(id_pedido, ts, status, event_id, id_entregador)""")
