@@ -157,3 +157,60 @@ def test_a_round_over_regions_handles_a_row_a_part_not_a_source(spark, monkeypat
     assert {(r.source, r.node, r.d) for r in found.collect()} == {(s, s + 1, 1.0) for s in range(30)}
     # a region hears from two neighbours at most, and the end of the street is never reached
     assert max(rounds) <= 12 and len(rounds) <= 12
+
+
+def _arrays(edges):
+    import numpy as np
+
+    light = {}
+    for _, u, v, w in edges:
+        if u != v:
+            light[u, v] = min(w, light.get((u, v), w))
+    listed = sorted((v, u, w) for (u, v), w in light.items())
+    nodes = np.unique([[v, u] for v, u, _ in listed])
+    return nodes, np.searchsorted(nodes, [u for _, u, _ in listed]), np.searchsorted(nodes, [v for v, _, _ in listed]), np.array([w for _, _, w in listed])
+
+
+def test_search_for_near_targets_looks_near_its_sources_only():
+    import pandas as pd
+
+    nodes, *edges = _arrays([(0, i + j, i + 1 - j, 1.0 + i % 3) for i in range(5000) for j in (0, 1)])
+    batch = pd.DataFrame({"source": [10, 2500, 4000], "targets": [[12, 10], [2501, 99999], [4003]]})
+    blocks = list(graph._searched(batch, nodes, *edges))
+    assert sum(len(near) for _, _, near, *_ in blocks) < 300
+    got = {(s, n): d for source, _, near, dist, _, _ in blocks for i, s in enumerate(source) for n, d in zip(near, dist[i])}
+    assert [got[10, 12], got[2500, 2501], got[4000, 4003]] == [5.0, 2.0, 6.0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_near_its_sources_agrees_with_the_whole_graph(seed, monkeypatch):
+    """Also if balls are of one hop and blocks are split: distances, rounds and predecessors are those of the whole graph."""
+    import numpy as np
+    import pandas as pd
+    from frota.operators.road_regions import last_nodes
+
+    monkeypatch.setattr(graph, "_HOPS", 1)
+    monkeypatch.setattr(graph, "_WIDER", 2)
+    monkeypatch.setattr(graph, "_BLOCK_CELLS", 300)
+    rng = random.Random(seed)
+    edges = [(0, i, (i + rng.choice([1, 2, 7])) % 90, rng.choice([0.0, 0.1, 0.7, 1.0, 3.0])) for i in range(90) for _ in range(2)]
+    nodes, *edges = _arrays(edges)
+    sources = [int(n) for n in nodes[::7]]
+    targets = [[(s + k) % 95 for k in rng.sample(range(95), 3)] for s in sources]
+    got = {}
+    for source, asked, near, dist, step, local in graph._searched(pd.DataFrame({"source": sources, "targets": targets}), nodes, *edges):
+        before = last_nodes(dist, step, *local)
+        for i, s in enumerate(source):
+            for n in asked[i]:
+                at = np.searchsorted(near, n)
+                if at < len(near) and near[at] == n and np.isfinite(dist[i, at]):
+                    got[int(s), int(n)] = (dist[i, at], step[i, at], near[before[i, at]] if before[i, at] >= 0 else None)
+    dist, step = graph.relax_block(np.array(sources), [None] * len(sources), nodes, *edges)
+    before = last_nodes(dist, step, *edges)
+    want = {}
+    for i, s in enumerate(sources):
+        for n in targets[i]:
+            at = np.searchsorted(nodes, n)
+            if at < len(nodes) and nodes[at] == n and np.isfinite(dist[i, at]):
+                want[s, n] = (dist[i, at], step[i, at], nodes[before[i, at]] if before[i, at] >= 0 else None)
+    assert got == want
